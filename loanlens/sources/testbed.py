@@ -114,8 +114,8 @@ COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
         "when l_tax < 0.07e0 then '65-74' else '>74' end", ()),
     "loan_amount_text": (
         "case when l_partkey % 101 = 0 then 'NA' when l_partkey % 103 = 0 then '0' "
-        "else cast(l_extendedprice * 8e0 as string) end", ()),
-    "income_text": ("case when c_custkey % 53 = 0 then 'NA' else cast(c_acctbal / 40e0 as string) end", (O, C)),
+        "else cast(l_extendedprice * 8.123457e0 as string) end", ()),
+    "income_text": ("case when c_custkey % 53 = 0 then 'NA' else cast(c_acctbal / 41.234567e0 as string) end", (O, C)),
     "debt_to_income_ratio": (
         "case when l_discount = 0 then 'NA' when l_discount < 0.02e0 then '<20%' when l_discount < 0.03e0 then '20%-<30%' "
         "when l_discount < 0.04e0 then '30%-<36%' when l_discount > 0.095e0 then '>60%' "
