@@ -122,5 +122,5 @@ TESTBED = replace(
     application_train=(1996, 1998), application_valid=(1999, 1999), application_test=(2000, 2000),
     event_years=(1995, 1996, 1997, 1998, 1999, 2000, 2001), base_year=1998, shock_year=1999,
     regimes=(("before", 1995, 1996), ("boom", 1997, 1998), ("after", 2000, 2001)),
-    min_per_cell_group=5,
+    cell_keys=("county_code", "loan_purpose", "lien_status"), min_per_cell_group=3,
 )

@@ -114,7 +114,7 @@ COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
         "when l_tax < 0.07e0 then '65-74' else '>74' end", ()),
     "loan_amount_text": (
         "case when l_partkey % 101 = 0 then 'NA' when l_partkey % 103 = 0 then '0' "
-        "else cast(l_extendedprice * 8.123457e0 as string) end", ()),
+        "else cast(l_extendedprice * 8.1234567891e0 as string) end", ()),
     "income_text": ("case when c_custkey % 53 = 0 then 'NA' else cast(c_acctbal / 41.234567e0 as string) end", (O, C)),
     "debt_to_income_ratio": (
         "case when l_discount = 0 then 'NA' when l_discount < 0.02e0 then '<20%' when l_discount < 0.03e0 then '20%-<30%' "
@@ -193,6 +193,11 @@ def raw_applications(spark: SparkSession, sf_dir: str, *columns: str) -> DataFra
     return _view(spark, sf_dir, {c: _RAW_NAME.get(c, c) for c in fields})
 
 
+def cte(name: str, *columns: str) -> str:
+    """A checking-SQL table with the given columns of the view."""
+    return _cte(name, {c: c for c in columns})
+
+
 def _cte(name: str, wanted: dict[str, str]) -> str:
     # `string` is an alias of varchar in the checking engine too
     cols = ",\n  ".join(f'{COLUMNS[key][0]} as "{out}"' for out, key in wanted.items())
