@@ -124,9 +124,8 @@ def cell_years(panel: DataFrame, cfg: Settings, *, balanced: bool = True) -> Dat
     return t.withColumn("_years", seen).where(F.col("_years") == len(cfg.event_years)).drop("_years")
 
 
-def within_cell(cells: DataFrame, cfg: Settings) -> DataFrame:
-    """Per year: within-cell gap weighted by n_f n_r / (n_f + n_r), change since the base year, and
-    its standard error clustered by county. A county missing in a year has influence 0 there."""
+def _by_county(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weighted gap sums per (year, county), and the year's level built from them."""
     h = F.col("n_focal") * F.col("n_ref") / (F.col("n_focal") + F.col("n_ref"))
     gap = F.col("k_focal") / F.col("n_focal") - F.col("k_ref") / F.col("n_ref")
     county = cells.groupBy("year", "county_code").agg(
@@ -135,14 +134,29 @@ def within_cell(cells: DataFrame, cfg: Settings) -> DataFrame:
     levels = county.groupBy("year").agg(
         F.sum("h").alias("hh"), (F.sum("hg") / F.sum("h")).alias("theta"),
         F.sum("cells").cast("bigint").alias("cells"), F.sum("n").cast("bigint").alias("n"))
+    return county, levels
+
+
+def influence_changes(cells: DataFrame, cfg: Settings) -> DataFrame:
+    """(year, county_code, influence_change): each county's influence on the level against the base
+    year. A county missing in one of the two years has influence 0 there."""
+    county, levels = _by_county(cells)
     infl = county.select("year", "county_code", "h", "hg").join(levels.select("year", "hh", "theta"), "year").select(
         "year", "county_code", ((F.col("hg") - F.col("theta") * F.col("h")) / F.col("hh")).alias("psi"))
     others = [F.lit(int(y)) for y in cfg.event_years if y != cfg.base_year]
     base = infl.where(F.col("year") == cfg.base_year).select(
         F.explode(F.array(*others)).alias("year"), "county_code", F.col("psi").alias("psi0"))
-    away = F.coalesce("psi", F.lit(0.0)) - F.coalesce("psi0", F.lit(0.0))
-    errors = infl.where(F.col("year") != cfg.base_year).join(base, ["year", "county_code"], "full_outer").groupBy(
-        "year").agg(F.sqrt(F.sum(away * away)).alias("se"))
+    return infl.where(F.col("year") != cfg.base_year).join(base, ["year", "county_code"], "full_outer").select(
+        "year", "county_code",
+        (F.coalesce("psi", F.lit(0.0)) - F.coalesce("psi0", F.lit(0.0))).alias("influence_change"))
+
+
+def within_cell(cells: DataFrame, cfg: Settings) -> DataFrame:
+    """Per year: within-cell gap weighted by n_f n_r / (n_f + n_r), change since the base year, and
+    its standard error clustered by county."""
+    _, levels = _by_county(cells)
+    away = F.col("influence_change")
+    errors = influence_changes(cells, cfg).groupBy("year").agg(F.sqrt(F.sum(away * away)).alias("se"))
     theta0 = levels.where(F.col("year") == cfg.base_year).select(F.max("theta")).scalar()
     se = F.when(F.col("year") == cfg.base_year, 0.0).otherwise(F.col("se")) * 100.0
     gamma = (F.col("theta") - theta0) * 100.0
