@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.functions.scalar import finite_or_null
+from loanlens.session import scratch_path
 
 
 def read_csv_union(
@@ -32,6 +33,13 @@ def read_csv_union(
     return out
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an expensive row-level intermediate once to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_file_metadata(df: DataFrame) -> DataFrame:
     """Add file name, vintage (`asof_YYMMDD`) and first/last fiscal year read from the file path."""
     return with_name_metadata(df.withColumn("file_path", F.col("_metadata.file_path")), "file_path")
