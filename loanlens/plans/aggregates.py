@@ -214,12 +214,12 @@ def portfolio(spark, d, *extra):
         "score_a", "score_b", *extra)
 
 
-@query("portfolio_totals", f"""with {PORTFOLIO_SQL} select count(*) n, cast(sum(y) as bigint) n_bad, round(sum(exposure), 2) lent, round(sum(loss), 2) loss,
+@query("portfolio_totals", f"""with {PORTFOLIO_SQL} select count(*) n, cast(sum(y) as bigint) n_bad, round(sum(exposure), 2) lent, round(sum(loss), 4) loss,
  round(avg(share), 6) mean_share, round(sum(loss * share), 2) loss_guarantor, round(sum(loss * (1 - share)), 2) loss_lender,
  round(sum(loss) / sum(exposure), 6) breakeven_gross, round(sum(loss * (1 - share)) / sum(exposure), 6) breakeven_lender from book""")
 def portfolio_totals(spark, d):
     t = economics.portfolio_totals(portfolio(spark, d), "y", "exposure", "loss", "share")
-    return t.select("n", "n_bad", *[r(c, 2).alias(c) for c in ("lent", "loss", "loss_guarantor", "loss_lender")],
+    return t.select("n", "n_bad", r("loss", 4).alias("loss"), *[r(c, 2).alias(c) for c in ("lent", "loss_guarantor", "loss_lender")],
                     *[r(c).alias(c) for c in ("mean_share", "breakeven_gross", "breakeven_lender")])
 
 

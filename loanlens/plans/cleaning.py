@@ -266,7 +266,7 @@ def floor_cells(spark, d):
 @query("clamp_default", f"""with {PANEL_SQL}, x as (select case when loan_id like '%1' then null
  when loan_id like '%2' then 1.4e0 else guarantee_pct end g, is_chargeoff, chargeoff_amount from panel)
  select is_chargeoff, count(*) loans, round(avg(least(greatest(coalesce(g, 0.75), 0e0), 1e0)), 6) mean_share,
- round(sum(coalesce(chargeoff_amount, 0e0) * is_chargeoff), 2) loss from x group by 1""")
+ round(sum(coalesce(chargeoff_amount, 0e0) * is_chargeoff), 4) loss from x group by 1""")
 def clamp_default(spark, d):
     from loanlens.operators.economics import loss_on_bad, share_or_default
 
@@ -281,4 +281,4 @@ def clamp_default(spark, d):
     return x.groupBy("is_chargeoff").agg(
         n().alias("loans"),
         r(F.avg(share_or_default(F.col("g"), CFG.default_guarantee))).alias("mean_share"),
-        r(F.sum(loss_on_bad(F.col("is_chargeoff"), F.col("amount"))), 2).alias("loss"))
+        r(F.sum(loss_on_bad(F.col("is_chargeoff"), F.col("amount"))), 4).alias("loss"))

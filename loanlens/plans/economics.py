@@ -19,12 +19,13 @@ CURVE_SQL = f"""{PORTFOLIO_SQL}, rk as (select *, row_number() over (order by sc
   b * 1e0 / m as "precision", l / nullif(tl, 0) loss_capture from gm join cum on rn = m),
  tot as (select sum(loss) tl, sum(case when y = 0 then exposure else 0 end) tg from book),
  lifted as (select curve.*, decline_rate * tl loss_avoided_random, decline_rate * tg good_volume_random, loss_avoided / nullif(decline_rate * tl, 0) lift from curve, tot)"""
-_MONEY = ("loss_avoided", "good_volume_foregone", "loss_avoided_random", "good_volume_random", "net_benefit")
+# losses have four decimals and amounts two: fewer digits would round exact ties
+_DIGITS = {"loss_avoided": 4, "net_benefit": 4, "good_volume_foregone": 2, "loss_avoided_random": 2, "good_volume_random": 2}
 
 
 def money(df):
     return df.select(*[
-        F.round(c, 2 if c in _MONEY else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        F.round(c, _DIGITS.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def curve(spark, d):
@@ -38,7 +39,7 @@ def lifted(spark, d):
     return EC.random_baseline(curve(spark, d), totals.select("tl").scalar(), totals.select("tg").scalar())
 
 
-_CURVE = """decline_rate, n_declined, round(loss_avoided, 2) loss_avoided, round(good_volume_foregone, 2) good_volume_foregone, bad_declined, good_declined,
+_CURVE = """decline_rate, n_declined, round(loss_avoided, 4) loss_avoided, round(good_volume_foregone, 2) good_volume_foregone, bad_declined, good_declined,
  round("precision", 6) as "precision", round(loss_capture, 6) loss_capture"""
 _LIFT = _CURVE + ", round(loss_avoided_random, 2) loss_avoided_random, round(good_volume_random, 2) good_volume_random, round(lift, 6) lift"
 
@@ -61,7 +62,7 @@ def breakeven_margin(spark, d):
 
 
 @query("optimal_cutoff", f"""with {CURVE_SQL}, nt as (select mg margin, decline_rate, loss_avoided - mg * good_volume_foregone net from curve, unnest([0.02e0, 0.03e0, 0.05e0, 0.08e0]) t(mg))
- select margin, decline_rate, round(net, 2) net_benefit, decline_rate in ((select min(decline_rate) from curve), (select max(decline_rate) from curve)) at_boundary
+ select margin, decline_rate, round(net, 4) net_benefit, decline_rate in ((select min(decline_rate) from curve), (select max(decline_rate) from curve)) at_boundary
  from nt qualify row_number() over (partition by margin order by net desc, decline_rate) = 1""")
 def optimal_cutoff(spark, d):
     return money(EC.optimal_cutoffs(curve(spark, d), CFG.margins))

@@ -117,7 +117,7 @@ BI_SQL = f"""{SCORED_SQL}, {auc_sql('scored', 'model, split')}, au as (select mo
  e0 as (with {CURVE_SQL} select loss_avoided s, good_volume_foregone g from curve where decline_rate = 0.1),
  c0 as (with {STRESS_SQL}, {auc_sql("(select * from st where cohort = 'early_1995_1996')", 'cohort')} select (select auc from disc) c,
   (select sum(p) / sum(y) from st where cohort = 'early_1995_1996') q)
- select v.measure, round(v.value, case when v.measure in ('loss_avoided', 'good_volume_foregone') then 2 else 6 end) as value, v.text from one, d0, e0, c0,
+ select v.measure, round(v.value, case v.measure when 'loss_avoided' then 4 when 'good_volume_foregone' then 2 else 6 end) as value, v.text from one, d0, e0, c0,
  lateral (values ('production_auc', a, null), ('baseline_auc', b, null), ('margin_over_baseline', a - b, null), ('margin_threshold', m, null),
  ('margin_verdict', null, case when a - b >= m then 'met' else 'NOT met' end), ('impact_threshold', t, null), ('model_disparate_impact', d, null),
  ('fairness_verdict', null, case when d >= t then 'MET' else 'NOT MET, promotion blocked' end), ('loss_avoided', s, null), ('good_volume_foregone', g, null),
@@ -132,8 +132,9 @@ def bi_measures(spark, d):
     stress = settle(M.stress_cohorts(df, windows(spark), year="approval_fy", y="is_bad", p="score_a"))
     out = G.measures(auc, G.thresholds(spark), impact, headline, stress, production="score_b", baseline="score_a",
                      crisis="early_1995_1996", provenance=f"config {CFG.fingerprint()}")
-    wide = F.col("measure").isin("loss_avoided", "good_volume_foregone")
-    return out.withColumn("value", F.when(wide, F.round("value", 2)).otherwise(F.round("value", 6)))
+    digits = F.when(F.col("measure") == "loss_avoided", F.round("value", 4)).when(
+        F.col("measure") == "good_volume_foregone", F.round("value", 2)).otherwise(F.round("value", 6))
+    return out.withColumn("value", digits)
 
 
 __all__ = ["r"]

@@ -22,7 +22,7 @@ from loanlens.sources.testbed import LOANS_SQL, loans
 
 
 @query("cumulative_by_score", f"""with {PORTFOLIO_SQL}, s as (select score_b score, count(*) c, sum(y) y, sum(loss) loss, sum(exposure) exposure from book group by 1)
- select score, c loans, cast(sum(c) over w as bigint) cum_loans, cast(sum(y) over w as bigint) cum_bad, round(sum(loss) over w, 2) cum_loss,
+ select score, c loans, cast(sum(c) over w as bigint) cum_loans, cast(sum(y) over w as bigint) cum_bad, round(sum(loss) over w, 4) cum_loss,
  round(sum(exposure) over w, 2) cum_exposure from s window w as (order by score desc)""")
 def cumulative_by_score(spark, d):
     t = running_totals(portfolio(spark, d).withColumnRenamed("score_b", "score"), "score", {
@@ -30,7 +30,7 @@ def cumulative_by_score(spark, d):
     through = lambda x: F.col(f"{x}_before") + F.col(x)
     return t.select(
         "score", F.col("c").alias("loans"), through("c").alias("cum_loans"), through("bad").alias("cum_bad"),
-        r(through("l"), 2).alias("cum_loss"), r(through("e"), 2).alias("cum_exposure"))
+        r(through("l"), 4).alias("cum_loss"), r(through("e"), 2).alias("cum_exposure"))
 
 
 @query("argmax_argmin_group", f"""with {FAIR_SQL} select dimension, arg_max("group", selection_rate) best, arg_min("group", selection_rate) worst,
@@ -43,7 +43,7 @@ def argmax_argmin_group(spark, d):
 
 
 @query("nearest_row", f"""with {CURVE_SQL}, t as (select unnest([0.05e0, 0.1e0, 0.15e0, 0.2e0, 0.3e0]) rate)
- select rate, decline_rate, n_declined, round(loss_avoided, 2) loss_avoided, round(good_volume_foregone, 2) good_volume_foregone, bad_declined, good_declined,
+ select rate, decline_rate, n_declined, round(loss_avoided, 4) loss_avoided, round(good_volume_foregone, 2) good_volume_foregone, bad_declined, good_declined,
  round("precision", 6) as "precision", round(loss_capture, 6) loss_capture from t, curve
  qualify row_number() over (partition by rate order by round(abs(decline_rate - rate), 9), decline_rate) = 1""")
 def nearest_row(spark, d):

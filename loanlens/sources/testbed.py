@@ -171,9 +171,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute a scan that has fewer splits than the cluster has cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _view(spark: SparkSession, sf_dir: str, wanted: dict[str, str]) -> DataFrame:
     needed = {t for key in wanted.values() for t in COLUMNS[key][1]}
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     for name, cond in JOINS.items():
         if name in needed:
             df = df.join(table(spark, sf_dir, name), F.expr(cond))
