@@ -218,9 +218,10 @@ def windows(spark):
 
 @query("stress_cohorts", f"""with {STRESS_SQL}, {auc_sql('st', 'cohort')}, {calibration_sql('st', 'cohort')},
  sz as (select cohort, min(approval_fy) first_fy, max(approval_fy) last_fy from st group by 1)
- select cohort, first_fy, last_fy, n, round(observed_rate, 6) observed_rate, round(auc, 6) auc, round(ks, 6) ks, round(brier, 6) brier,
- round(predicted_rate, 6) predicted_rate, round(calibration_ratio, 6) calibration_ratio, case when n < 500 then 'insufficient sample' end note
- from sz join disc using (cohort) join cal using (cohort)""")
+ , ok as (select *, n >= 500 and n_pos > 0 and n_neg > 0 enough from sz join disc using (cohort) join cal using (cohort))
+ select cohort, first_fy, last_fy, n, case when enough then round(observed_rate, 6) end observed_rate, case when enough then round(auc, 6) end auc,
+ case when enough then round(ks, 6) end ks, case when enough then round(brier, 6) end brier, case when enough then round(predicted_rate, 6) end predicted_rate,
+ case when enough then round(calibration_ratio, 6) end calibration_ratio, case when not enough then 'insufficient sample' end note from ok""")
 def stress_cohorts(spark, d):
     df = loans(spark, d, "approval_fy", "status", "is_bad", "score_a").where(F.col("status").isin(list(CFG.resolved_statuses)))
     return rounded(M.stress_cohorts(df, windows(spark), year="approval_fy", y="is_bad", p="score_a"))
