@@ -19,14 +19,14 @@ HEADLINE = (
     "feature_job", "panel_loans", "panel_applications", "contract_check", "contamination_audit",
     "matched_maturity", "treatment_r2", "denial_rates_by", "auc_gini_ks", "brier_ece", "psi",
     "drift_by_cohort", "fairness_report", "decision_curve", "within_cell_estimator", "kitagawa",
-    "differential_selection", "woe_binning", "batch_score_loss", "notice_evaluate",
+    "woe_binning", "batch_score_loss", "readability",
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     registry.load_all()
     spark = build_session(
         f"local[{cpus}]", "bench",

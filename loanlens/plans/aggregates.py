@@ -10,7 +10,7 @@ from loanlens.operators import cohorts, economics, fairness, features, identific
 from loanlens.plans.cleaning import PARTIAL_MAP
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.sources import loans as L
-from loanlens.sources.files import vintage_as_of
+from loanlens.sources.files import stage, vintage_as_of
 from loanlens.sources.testbed import LOANS_SQL, RAW_APPLICATIONS_SQL, RAW_LOANS_SQL, loans, raw_applications, raw_loans
 
 RESOLUTION_FIELDS = (
@@ -65,9 +65,9 @@ def feature_job(spark, d):
  from raw_applications where derived_race is not null and derived_race not in ('Race Not Available', 'Joint', 'Free Form Text Only')
  group by 1 having count(*) >= 5000""")
 def denial_rates_by(spark, d):
-    raw = raw_applications(spark, d, "derived_race", "action_taken", "income", "loan_amount")
-    return rounded(fairness.denial_rates_by(raw, "derived_race", NON_GROUPS, 5000), 4).drop("denial_rate").join(
-        rounded(fairness.denial_rates_by(raw, "derived_race", NON_GROUPS, 5000).select("group", "denial_rate")), "group")
+    raw = stage(raw_applications(spark, d, "derived_race", "action_taken", "income", "loan_amount"), "applications")
+    t = fairness.denial_rates_by(raw, "derived_race", NON_GROUPS, 5000)
+    return t.select("group", "n", r("denial_rate").alias("denial_rate"), *[r(c, 4).alias(c) for c in ("median_income", "median_amount")])
 
 
 @query("disparity_over_time", f"""with {RAW_APPLICATIONS_SQL}, g as (select try_cast(activity_year as integer) as year, derived_race grp, count(*) n,

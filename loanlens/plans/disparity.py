@@ -9,6 +9,7 @@ from loanlens.operators import eventstudy as E
 from loanlens.plans.registry import query, rounded
 from loanlens.session import settle
 from loanlens.sources.applications import event_panel as build_panel
+from loanlens.sources.files import stage
 from loanlens.sources.testbed import RAW_APPLICATIONS_SQL, raw_applications
 
 FIELDS = ("activity_year", "action_taken", "derived_race", "derived_ethnicity", "county_code", "loan_purpose",
@@ -145,7 +146,8 @@ def trend_adjusted(spark, d):
  round(ld, 6) lti_difference, round(rf - rr, 6) retention_difference_pp,
  (select max(abs(rf - rr)) from t where year > 1999) >= 10 contaminates from t""")
 def differential_selection(spark, d):
-    return rounded(E.differential_selection(panel(spark, d), cells(spark, d), CFG))
+    rows = stage(panel(spark, d), "event")
+    return rounded(E.differential_selection(rows, settle(E.cell_years(rows, CFG), 100_000), CFG))
 
 
 __all__ = ["F"]

@@ -9,6 +9,7 @@ from loanlens.operators import cohorts, drift
 from loanlens.plans.aggregates import MATCHED_SQL, REFERENCE_SQL, as_of, matched, resolutions
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import settle
+from loanlens.sources.files import stage
 from loanlens.sources.testbed import LOANS_SQL, loans
 
 NUM = ("gross_approval", "initial_rate", "jobs_supported")
@@ -17,16 +18,17 @@ PROBS = ", ".join(str(i / 10) for i in range(11))
 
 
 def population(spark, d):
-    return loans(spark, d, "approval_fy", "status", "score_a", *NUM, *CAT).where(
-        ~F.col("status").isin(list(CFG.not_booked_statuses)))
+    """Booked loans, written once: profiles, features and scores all read it."""
+    return stage(loans(spark, d, "approval_fy", "status", "score_a", *NUM, *CAT).where(
+        ~F.col("status").isin(list(CFG.not_booked_statuses))), "booked")
 
 
-def training(spark, d):
-    return population(spark, d).where(F.col("approval_fy").between(*CFG.train))
+def training(pop):
+    return pop.where(F.col("approval_fy").between(*CFG.train))
 
 
-def watched(spark, d):
-    return population(spark, d).where(F.col("approval_fy") >= CFG.watch_from)
+def watched(pop):
+    return pop.where(F.col("approval_fy") >= CFG.watch_from)
 
 
 POP_SQL = f"""{LOANS_SQL}, pop as (select * from loans where status not in ('CANCLD')), tr as (select * from pop where approval_fy between 1995 and 1997),
@@ -79,24 +81,24 @@ SCORE_SQL = f"""refm as (select avg({_LG}) m from scol where approval_fy between
   then 'level moved: recalibrate' else 'shape changed: consider retraining' end reading from pst join pss using (approval_fy) join shift using (approval_fy))"""
 
 
-def numeric_profile(spark, d):
-    return settle(drift.numeric_profile(drift.numeric_long(training(spark, d), NUM), CFG.n_bins))
+def numeric_profile(pop):
+    return settle(drift.numeric_profile(drift.numeric_long(training(pop), NUM), CFG.n_bins))
 
 
-def categorical_profile(spark, d):
-    return settle(drift.categorical_profile(training(spark, d), CAT))
+def categorical_profile(pop):
+    return settle(drift.categorical_profile(training(pop), CAT))
 
 
-def score_profile(spark, d):
-    return settle(drift.score_profile(training(spark, d), "score_a", CFG.n_bins))
+def score_profile(pop):
+    return settle(drift.score_profile(training(pop), "score_a", CFG.n_bins))
 
 
-def features(spark, d):
-    return drift.feature_drift(watched(spark, d), numeric_profile(spark, d), categorical_profile(spark, d), NUM, CAT, CFG, ["approval_fy"])
+def features(pop):
+    return drift.feature_drift(watched(pop), numeric_profile(pop), categorical_profile(pop), NUM, CAT, CFG, ["approval_fy"])
 
 
-def scores(spark, d):
-    return drift.score_drift(watched(spark, d), "score_a", score_profile(spark, d), CFG.psi_warn, ["approval_fy"])
+def scores(pop):
+    return drift.score_drift(watched(pop), "score_a", score_profile(pop), CFG.psi_warn, ["approval_fy"])
 
 
 @query("build_reference", f"""with {POP_SQL} select feature, bin, lo, hi, share from (
@@ -104,7 +106,8 @@ def scores(spark, d):
  round(case when bin < len(edges) - 2 then edges[bin + 2] end, 6) hi, round(share, 6) share
  from prof join edges using (feature))""")
 def build_reference(spark, d):
-    both = numeric_profile(spark, d).unionByName(score_profile(spark, d))
+    pop = population(spark, d)
+    both = numeric_profile(pop).unionByName(score_profile(pop))
     long = drift.profile_long(both)
     finite = lambda c: F.when(F.abs(c) != float("inf"), F.col(c))
     return rounded(long.select("feature", "bin", finite("lo").alias("lo"), finite("hi").alias("hi"), "share"))
@@ -112,25 +115,27 @@ def build_reference(spark, d):
 
 @query("psi_numeric_profile", f"with {PSI_NUM_SQL} select approval_fy, feature, round(psi, 6) psi from pnum")
 def psi_numeric_profile(spark, d):
-    long = drift.numeric_long(watched(spark, d), NUM, ["approval_fy"])
-    return rounded(drift.psi_numeric(long, numeric_profile(spark, d), ["approval_fy"]))
+    pop = population(spark, d)
+    long = drift.numeric_long(watched(pop), NUM, ["approval_fy"])
+    return rounded(drift.psi_numeric(long, numeric_profile(pop), ["approval_fy"]))
 
 
 @query("psi_categorical", f"with {POP_SQL}, {PSI_CAT_SQL} select approval_fy, feature, round(psi, 6) psi, round(unsupported, 6) unsupported from pcat")
 def psi_categorical(spark, d):
-    seen = drift.category_shares(watched(spark, d), CAT, ["approval_fy"])
-    return rounded(drift.psi_categorical(seen, categorical_profile(spark, d), CFG.min_support, ["approval_fy"]))
+    pop = population(spark, d)
+    seen = drift.category_shares(watched(pop), CAT, ["approval_fy"])
+    return rounded(drift.psi_categorical(seen, categorical_profile(pop), CFG.min_support, ["approval_fy"]))
 
 
 @query("score_drift", f"""with {POP_SQL}, {SCORE_SQL} select approval_fy, round(psi_total, 6) psi_total, round(psi_shape, 6) psi_shape,
  round(logit_shift, 6) logit_shift, reading from sd""")
 def score_drift(spark, d):
-    return rounded(scores(spark, d))
+    return rounded(scores(population(spark, d)))
 
 
 @query("drift_bands", f"with {FEATURES_SQL} select approval_fy, feature, kind, round(psi, 6) psi, round(unsupported, 6) unsupported, band from feats")
 def drift_bands(spark, d):
-    return rounded(features(spark, d)).orderBy("approval_fy", F.col("unsupported").desc(), F.col("psi").desc())
+    return rounded(features(population(spark, d))).orderBy("approval_fy", F.col("unsupported").desc(), F.col("psi").desc())
 
 
 @query("drift_by_cohort", f"""with {FEATURES_SQL}, {SCORE_SQL}, vol as (select approval_fy, count(*) n from wa group by 1),
@@ -141,8 +146,9 @@ def drift_bands(spark, d):
  round(psi_total, 6) psi_total, round(psi_shape, 6) psi_shape, round(logit_shift, 6) logit_shift, reading
  from vol join w using (approval_fy) join i using (approval_fy) left join sd using (approval_fy)""")
 def drift_by_cohort(spark, d):
-    volumes = watched(spark, d).groupBy("approval_fy").agg(n().alias("n"))
-    table = drift.drift_by_cohort(features(spark, d), scores(spark, d), volumes, "approval_fy", CFG)
+    pop = population(spark, d)
+    volumes = watched(pop).groupBy("approval_fy").agg(n().alias("n"))
+    table = drift.drift_by_cohort(features(pop), scores(pop), volumes, "approval_fy", CFG)
     return rounded(table.withColumn("in_action", F.array_join("in_action", ",")).withColumn(
         "without_support", F.array_join(F.map_keys("unsupported"), ",")).drop("unsupported"))
 
@@ -150,7 +156,7 @@ def drift_by_cohort(spark, d):
 @query("stale_profile_guard")
 def stale_profile_guard(spark, d):
     drift.require_fresh(CFG.fingerprint(), CFG)
-    return numeric_profile(spark, d).select("feature", F.lit(CFG.fingerprint()).alias("fingerprint"))
+    return numeric_profile(population(spark, d)).select("feature", F.lit(CFG.fingerprint()).alias("fingerprint"))
 
 
 TRIG_VOC_SQL = """tv as (select 'vocabulary' as trigger, count(*) > 0 fired, coalesce(string_agg(printf('%s %.3f', feature, mass), ', ' order by mass desc, feature),
@@ -163,12 +169,12 @@ TRIG_MAT_SQL = f"""refr as ({REFERENCE_SQL}), yng as (select max(fy) fy, arg_max
  coalesce(printf('%d at %dm: %.2f vs %.2f', fy, 24, rate, ref), 'no cohort reaches the window') detail from yng)"""
 
 
-def vocabulary_trigger(spark, d):
-    return drift.trigger_vocabulary(features(spark, d), CFG)
+def vocabulary_trigger(spark, d, pop=None):
+    return drift.trigger_vocabulary(features(pop or population(spark, d)), CFG)
 
 
-def shape_trigger(spark, d):
-    return drift.trigger_score_shape(scores(spark, d), "approval_fy", CFG)
+def shape_trigger(spark, d, pop=None):
+    return drift.trigger_score_shape(scores(pop or population(spark, d)), "approval_fy", CFG)
 
 
 def maturity_trigger(spark, d):
@@ -184,7 +190,8 @@ query("trigger_matched_maturity", f"with {MATCHED_SQL}, {TRIG_MAT_SQL} select *
 @query("retrain_decision", f"""with {FEATURES_SQL}, {SCORE_SQL}, {MATCHED_SQL}, {TRIG_VOC_SQL}, {TRIG_SHAPE_SQL}, {TRIG_MAT_SQL},
  al as (select * from tv union all select * from ts union all select * from tm) select *, (select bool_or(fired) from al) retrain from al""")
 def retrain_decision(spark, d):
-    triggers = settle(vocabulary_trigger(spark, d).unionByName(shape_trigger(spark, d)).unionByName(maturity_trigger(spark, d)))
+    pop = population(spark, d)
+    triggers = settle(vocabulary_trigger(spark, d, pop).unionByName(shape_trigger(spark, d, pop)).unionByName(maturity_trigger(spark, d)))
     return drift.retrain_decision(triggers)
 
 

@@ -9,6 +9,7 @@ from loanlens.operators import economics as EC
 from loanlens.plans.aggregates import PORTFOLIO_SQL, portfolio
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import settle
+from loanlens.sources.files import stage
 
 GRID = [i / 100 for i in range(1, 51)]
 CURVE_SQL = f"""{PORTFOLIO_SQL}, rk as (select *, row_number() over (order by score_a desc, md5(loan_id), loan_id) rn, count(*) over () nn, sum(loss) over () tl from book),
@@ -30,7 +31,7 @@ def money(df):
 
 def curve(spark, d):
     return settle(EC.decision_curve(
-        portfolio(spark, d), key="loan_id", y="y", score="score_a", loss="loss", exposure="exposure", grid=GRID))
+        stage(portfolio(spark, d), "portfolio"), key="loan_id", y="y", score="score_a", loss="loss", exposure="exposure", grid=GRID))
 
 
 def lifted(spark, d):

@@ -8,6 +8,7 @@ from loanlens.config import NON_GROUPS, TESTBED as CFG
 from loanlens.operators import fairness as FA
 from loanlens.plans.registry import query, rounded
 from loanlens.session import settle
+from loanlens.sources.files import stage
 from loanlens.sources.testbed import cte, loans
 
 DIMS = {"derived_race": "race", "derived_ethnicity": "ethnicity", "derived_sex": "sex"}
@@ -31,7 +32,7 @@ def population(spark, d):
 
 
 def outcomes(spark, d):
-    df = population(spark, d)
+    df = stage(population(spark, d), "decided")
     threshold = settle(FA.approval_threshold(df, "s", CFG.approval_rate)).scalar()
     return FA.group_outcomes(df, y="y", score="s", threshold=threshold, dimensions=tuple(DIMS.values()))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanlens.config import TESTBED as CFG
 from loanlens.functions import scalar as S
 from loanlens.operators import drift
-from loanlens.plans.drift import NUM, numeric_profile
+from loanlens.plans.drift import NUM, numeric_profile, population
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import scratch_path
 from loanlens.sources import files
@@ -138,7 +138,7 @@ def export_results(spark, d):
 def profile_roundtrip(spark, d):
     """A stored profile and its copy read back, with the largest difference of their bounds."""
     path = scratch_path(spark, "profile")
-    long = drift.profile_long(numeric_profile(spark, d))
+    long = drift.profile_long(numeric_profile(population(spark, d)))
     files.save_profile(long, path)
     back = files.load_profile(spark, path).withColumnsRenamed({"lo": "lo2", "hi": "hi2", "share": "share2"})
     both = long.join(back, ["feature", "bin"], "full_outer")

@@ -11,7 +11,7 @@ from loanlens.operators import eventstudy as E
 from loanlens.plans.aggregates import IDENT_SQL, identification_base
 from loanlens.plans.cleaning import RAW_APPLICATIONS_SQL
 from loanlens.plans.disparity import CELLS_SQL, COEF_SQL, cells, panel
-from loanlens.plans.drift import CAT, POP_SQL, categorical_profile, watched
+from loanlens.plans.drift import CAT, POP_SQL, categorical_profile, population, watched
 from loanlens.plans.quality import SCORED_SQL, auc_sql, calibration_sql, scored
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.operators import quality as Q
@@ -79,7 +79,8 @@ def both_runs(spark, d):
  select coalesce(o.feature, f.feature) feature, coalesce(o.category, f.category) category, round(coalesce(f.share, 0), 6) ref_share, round(coalesce(obs, 0), 6) obs_share,
  f.share is null unseen from o full join refcat f on o.feature = f.feature and o.category = f.category""")
 def join_profile_observed(spark, d):
-    return rounded(drift.observed_vs_profile(drift.category_shares(watched(spark, d), CAT), categorical_profile(spark, d)))
+    pop = population(spark, d)
+    return rounded(drift.observed_vs_profile(drift.category_shares(watched(pop), CAT), categorical_profile(pop)))
 
 
 @query("join_base_year", f"""with {COEF_SQL} select a.year, a.county_code, round(coalesce(i.psi, 0) - coalesce(b.psi, 0), 9) influence_change from allc a

@@ -12,7 +12,7 @@ from loanlens.operators.ranking import running_totals
 from loanlens.plans.aggregates import IDENT_SQL, MATCHED_SQL, PORTFOLIO_SQL, identification_base, matched, portfolio
 from loanlens.plans.cleaning import PANEL_SQL, panel
 from loanlens.plans.disparity import CELLS_SQL, panel as event_rows
-from loanlens.plans.drift import FEATURES_SQL, SCORE_SQL, features, scores
+from loanlens.plans.drift import FEATURES_SQL, SCORE_SQL, features, population, scores
 from loanlens.plans.economics import CURVE_SQL, curve, money
 from loanlens.plans.fairness import FAIR_SQL, compared
 from loanlens.plans.joins import FJ_SQL, both_runs
@@ -64,8 +64,9 @@ def last_n_years(spark, d):
 @query("worst_cohort", f"""with {FEATURES_SQL}, {SCORE_SQL} select (select arg_max(approval_fy, psi_shape) from sd) worst_year, (select round(max(psi_shape), 6) from sd) worst_shape,
  feature, round(max(unsupported), 6) max_unsupported from feats where kind = 'categorical' group by feature""")
 def worst_cohort(spark, d):
-    shape = settle(scores(spark, d).agg(F.max_by("approval_fy", "psi_shape").alias("y"), F.max("psi_shape").alias("s")))
-    mass = features(spark, d).where(F.col("kind") == "categorical").groupBy("feature").agg(r(F.max("unsupported")).alias("max_unsupported"))
+    pop = population(spark, d)
+    shape = settle(scores(pop).agg(F.max_by("approval_fy", "psi_shape").alias("y"), F.max("psi_shape").alias("s")))
+    mass = features(pop).where(F.col("kind") == "categorical").groupBy("feature").agg(r(F.max("unsupported")).alias("max_unsupported"))
     return mass.withColumn("worst_year", shape.select("y").scalar()).withColumn("worst_shape", F.round(shape.select("s").scalar(), 6))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanlens.config import TESTBED as CFG
 from loanlens.operators import quality as Q
 from loanlens.plans.registry import n, query, r, rounded
+from loanlens.sources.files import stage
 from loanlens.sources.testbed import LOANS_SQL, loans
 
 MODELS = ("score_a", "score_b")
@@ -15,12 +16,13 @@ SCORED_SQL = f"""{LOANS_SQL}, resolved as (select * from loans where status in (
  union all select loan_id, approval_fy, coalesce(split, 'none'), is_bad, 'score_b', score_b from resolved)"""
 
 
-def scored(spark, d, *keep):
-    """(kept columns, y, model, p) of resolved loans, both scores from one scan."""
+def scored(spark, d, *keep, once=False):
+    """(kept columns, y, model, p) of resolved loans. Metrics read it several times, so the joined view
+    is written once; `once` skips that for a single pass."""
     df = loans(spark, d, "loan_id", "approval_fy", "status", "split", "is_bad", *MODELS).where(
         F.col("status").isin(list(CFG.resolved_statuses)))
     df = df.select("loan_id", "approval_fy", F.coalesce("split", F.lit("none")).alias("split"), F.col("is_bad").alias("y"), *MODELS)
-    return Q.to_long(df, MODELS, [*keep, "y"])
+    return Q.to_long(df if once else stage(df, "scored"), MODELS, [*keep, "y"])
 
 
 def auc_sql(source: str, keys: str, extra: str = "") -> str:
@@ -58,7 +60,7 @@ def psi_sql(source: str, keys: str, value: str = "v", name: str = "psis") -> str
 @query("auc_gini_ks", f"""with {SCORED_SQL}, {auc_sql('scored', 'model, split')}
  select model, split, n_pos, n_neg, round(auc, 6) auc, round(2 * auc - 1, 6) gini, round(ks, 6) ks from disc""")
 def auc_gini_ks(spark, d):
-    return rounded(Q.discrimination(scored(spark, d, "split"), "y", "p", ["model", "split"]))
+    return rounded(Q.discrimination(scored(spark, d, "split", once=True), "y", "p", ["model", "split"]))
 
 
 @query("brier_ece", f"""with {SCORED_SQL}, {calibration_sql('scored', 'model, split')}
@@ -111,7 +113,7 @@ def metric_summary(spark, d):
 @query("oot_drop", f"""with {SCORED_SQL}, {auc_sql('scored', 'model, split')}
  select model, round(max(auc) filter (split = 'train') - max(auc) filter (split = 'test'), 6) auc_drop from disc group by model""")
 def oot_drop(spark, d):
-    t = Q.discrimination(scored(spark, d, "split"), "y", "p", ["model", "split"])
+    t = Q.discrimination(scored(spark, d, "split", once=True), "y", "p", ["model", "split"])
     at = lambda s: F.max(F.when(F.col("split") == s, F.col("auc")))
     return t.groupBy("model").agg(r(at("train") - at("test")).alias("auc_drop"))
 

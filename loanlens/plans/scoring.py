@@ -18,6 +18,7 @@ from loanlens.plans.cleaning import PANEL_SQL, PARTIAL_MAP, applications, panel
 from loanlens.plans.quality import SCORED_SQL, auc_sql, calibration_sql, scored
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import settle
+from loanlens.sources.files import stage
 from loanlens.sources.loans import with_split
 from loanlens.sources.testbed import LOANS_SQL, loans
 
@@ -27,7 +28,7 @@ Y = "is_chargeoff"
 
 def split_panel(spark, d):
     df = with_split(panel(spark, d), CFG).where(F.col("split").isNotNull())
-    return df.select(Y, "split", *[c for c in (*NUM, *CAT)])
+    return stage(df.select(Y, "split", *NUM, *CAT), "panel")  # every fit reads it many times
 
 
 def part(df, name):
@@ -248,7 +249,7 @@ def train_access_model(spark, d):
     split = F.when(F.col("activity_year").between(*CFG.application_train), "train").when(
         F.col("activity_year").between(*CFG.application_valid), "valid").when(
         F.col("activity_year").between(*CFG.application_test), "test")
-    df = df.withColumn("split", split).where(F.col("split").isNotNull())
+    df = stage(df.withColumn("split", split).where(F.col("split").isNotNull()), "applications")
     project_guarded(df, [*num, *cat], forbidden=("is_denied",), protected=("race", "ethnicity", "sex"))
     model = fit_gbm(df, trees=10, depth=3, num=num, cat=cat, y="is_denied")
     out = M.score(model, df, "is_denied", num, cat, "p0").select("split", "is_denied", "race", "ethnicity", "sex", "p0").cache()
