@@ -18,10 +18,10 @@ CURVE_SQL = f"""{PORTFOLIO_SQL}, rk as (select *, row_number() over (order by sc
   window w as (order by rn rows between unbounded preceding and current row)),
  curve as (select k decline_rate, m n_declined, l loss_avoided, g good_volume_foregone, cast(b as bigint) bad_declined, cast(m - b as bigint) good_declined,
   b * 1e0 / m as "precision", l / nullif(tl, 0) loss_capture from gm join cum on rn = m),
- tot as (select sum(loss) tl, sum(case when y = 0 then exposure else 0 end) tg from book),
+ tot as (select round(sum(loss), 4) tl, round(sum(case when y = 0 then exposure else 0 end), 2) tg from book),
  lifted as (select curve.*, decline_rate * tl loss_avoided_random, decline_rate * tg good_volume_random, loss_avoided / nullif(decline_rate * tl, 0) lift from curve, tot)"""
 # losses have four decimals and amounts two: fewer digits would round exact ties
-_DIGITS = {"loss_avoided": 4, "net_benefit": 4, "good_volume_foregone": 2, "loss_avoided_random": 2, "good_volume_random": 2}
+_DIGITS = {"loss_avoided": 4, "net_benefit": 4, "good_volume_foregone": 2, "loss_avoided_random": 6, "good_volume_random": 4}
 
 
 def money(df):
@@ -36,13 +36,13 @@ def curve(spark, d):
 
 def lifted(spark, d):
     totals = settle(portfolio(spark, d).agg(
-        F.sum("loss").alias("tl"), F.sum(F.when(F.col("y") == 0, F.col("exposure"))).alias("tg")))
+        r(F.sum("loss"), 4).alias("tl"), r(F.sum(F.when(F.col("y") == 0, F.col("exposure"))), 2).alias("tg")))
     return EC.random_baseline(curve(spark, d), totals.select("tl").scalar(), totals.select("tg").scalar())
 
 
 _CURVE = """decline_rate, n_declined, round(loss_avoided, 4) loss_avoided, round(good_volume_foregone, 2) good_volume_foregone, bad_declined, good_declined,
  round("precision", 6) as "precision", round(loss_capture, 6) loss_capture"""
-_LIFT = _CURVE + ", round(loss_avoided_random, 2) loss_avoided_random, round(good_volume_random, 2) good_volume_random, round(lift, 6) lift"
+_LIFT = _CURVE + ", round(loss_avoided_random, 6) loss_avoided_random, round(good_volume_random, 4) good_volume_random, round(lift, 6) lift"
 
 
 @query("decision_curve", f"with {CURVE_SQL} select {_CURVE} from curve")
