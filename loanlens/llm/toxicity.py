@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (longer ones in windows of `WINDOW` words). A sentence's chance of being toxic is
-logistic in its hashed words and word beginnings; the document's is their noisy-or, 1 - prod(1 - p). Only documents
-carry labels; the sentence weights are fitted so that the noisy-or meets them. The same weights then point out the
-sentences that make a document toxic.
+logistic in its hashed words and word beginnings, whose weights are evidence and never negative; the document's is
+their noisy-or, 1 - prod(1 - p). Only documents carry labels; the sentence weights are fitted so that the noisy-or
+meets them. The same weights then point out the sentences that make a document toxic.
 
 Fitting uses a sample of labelled rows, at most `POSITIVES` and `NEGATIVES` by a hash of the id, weighted to the
 true shares; executors turn the texts into feature numbers. Scoring reads all rows and shuffles nothing.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import WORD_CHARS, fold
 
 DIMENSIONS = 1 << 18
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7)
 WINDOW = 40
 POSITIVES, NEGATIVES = 2000, 4000
 MIN_DOCUMENTS = 3
@@ -134,7 +134,7 @@ def _fit(rows: pa.Table) -> ToxicModel:
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad * grad
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-7)
-        w -= move[:-1]
+        w = np.maximum(w - move[:-1], 0)
         b -= move[-1]
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[known] = w
