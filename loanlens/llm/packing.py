@@ -16,6 +16,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import string
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,53 +27,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import LOWER_AZ
+
 CAPACITY = 4096
 SLACK = 64
 END_ID = 2
-REMEMBERED = 400_000  # words of the memory that a task keeps
+REMEMBERED = 1_000_000  # words that a Python worker keeps
+MARKS = string.punctuation.encode()
 
 #: A piece: document id, start in the document, ids, tokens of the document.
 Piece = tuple[int | None, int, np.ndarray, int]
 
 
+class _Places(dict):
+    """Number of each word; a new word gets the next one and waits to be learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.waiting.append(word)
+        return place
+
+
 class WordEncoder:
-    """Ids of texts; each word is given to the tokenizer once."""
+    """Ids of texts; each word is given to the tokenizer once.
+
+    Words are cut further where the tokenizer cuts too: ASCII marks after an ASCII letter. Words of letters are given to
+    it many at a time, and their ids told apart by the ids that end a word; where the count of those differs, one by one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
+        self.places = _Places()
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        parts = [np.array(e.ids, np.uint32) for e in found]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.places.update(zip(fresh, range(len(self.starts), len(self.starts) + len(fresh))))
-        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
-        self.ids = np.concatenate([self.ids, *parts])
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, words: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+        """The words in the order in which their ids come, ids, lengths."""
+        letters, others = [], []
+        for word in words:
+            (letters if word.decode("utf-8").isalpha() else others).append(word)
+        order, parts, lengths = [], [], []
+        for at in range(0, len(letters), 512):
+            group = letters[at:at + 512]
+            ids = np.array(self._ids_of([b" ".join(group).decode("utf-8")])[0], np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                order += group
+                parts.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+            else:
+                others += group
+        for word, found in zip(others, self._ids_of([w.decode("utf-8") for w in others]) if others else ()):
+            order.append(word)
+            parts.append(np.array(found, np.uint32))
+            lengths.append(np.array([len(found)]))
+        return order, parts, lengths
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        self.starts[at] = len(self.ids) + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, at: np.ndarray, spare: int = 0) -> np.ndarray:
+        """Ids of the remembered words at these places, one after the other, with room for `spare` more."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.empty(total + spare, np.uint32)
+        out[:total] = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
+        return out
+
+    def _learn(self) -> None:
+        places, waiting = self.places, self.places.waiting
+        whole, joined, parts = [], [], []
+        for word in waiting:  # grows by the parts of its words
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122 and b"<|" not in word:
+                joined.append(word)
+                parts += places[stem], places[word[len(stem):]]
+            else:
+                whole.append(word)
+        places.waiting = []
+        more = np.zeros(len(places) - len(self.starts), np.int64)
+        self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
+        order, ids, lengths = self._ask(whole)
+        if order:
+            self._keep(order, np.concatenate(ids), np.concatenate(lengths))
+        if joined:
+            at = np.array(parts, np.int64)
+            self._keep(joined, self._gather(at), self.lengths[at].reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
         if len(self.places) > REMEMBERED:
             self._forget()
-        if fresh := list(set().union(*split).difference(self.places)):
-            self._learn(fresh)
-        for words in split:
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
-            ids[total] = END_ID
+        rows = []
+        for text in texts:
+            raw = (text or "").encode("utf-8")
+            words = (raw if b"<|" in raw else raw.translate(LOWER_AZ)).split()  # strings of special tokens keep their case
+            rows.append(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)))
+        if self.places.waiting:
+            self._learn()
+        for at in rows:
+            ids = self._gather(at, 1)
+            ids[-1] = END_ID
             yield ids
 
 
@@ -150,8 +224,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str
 
         def sequences() -> Iterator[list[Piece]]:
             for incoming in batches:
-                for at in range(0, incoming.num_rows, 256):
-                    part = incoming.slice(at, 256)
+                for at in range(0, incoming.num_rows, 1024):
+                    part = incoming.slice(at, 1024)
                     for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                         yield from packer.add(key, ids)
             yield from packer.finish()
