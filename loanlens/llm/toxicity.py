@@ -100,37 +100,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2) -> ToxicModel:
     sample = labelled_sample(docs.select("doc_id", "text"), labels, label, parts, held, POSITIVES, NEGATIVES)
-    rows = sample.select("text", "label", "weight", "labelled_id").mapInArrow(
-        lambda batches: _bags(batches), "label int, weight double, features binary, lengths binary").toArrow()
-    return _fit(rows)
+    return _fit(sample.select("text", "label", "weight", "labelled_id").mapInArrow(
+        lambda batches: _bags(batches), "label int, weight double, features binary, lengths binary").toArrow())
 
 
 def _fit(rows: pa.Table) -> ToxicModel:
     table = sorted(zip(*(rows.column(c).to_pylist() for c in ("features", "lengths", "label", "weight"))))
+    del rows
     y = np.array([r[2] for r in table], float)
     weight = np.array([r[3] for r in table], float)
     if not len(y) or y.min() == y.max():
         return ToxicModel(np.zeros(DIMENSIONS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
-    bags = [(np.frombuffer(f, "<i4"), np.frombuffer(n, "<i4")) for f, n, _, _ in table]
     seen = np.zeros(DIMENSIONS, np.int32)
-    for features, _ in bags:
-        seen[np.unique(features)] += 1
+    for features, *_ in table:
+        seen[np.unique(np.frombuffer(features, "<i4"))] += 1
     known = seen >= MIN_DOCUMENTS
-    number = np.cumsum(known) - 1
-    keep = [known[f] for f, _ in bags]
-    feature = np.concatenate([number[f[k]] for (f, _), k in zip(bags, keep)])
-    sizes = np.concatenate([n for _, n in bags])
-    every = np.repeat(np.arange(len(sizes)), sizes)[np.concatenate(keep)]
-    doc = np.repeat(np.arange(len(bags)), [len(n) for _, n in bags])
+    number = (np.cumsum(known) - 1).astype(np.int32)
+    doc = np.repeat(np.arange(len(table), dtype=np.int32), [len(r[1]) // 4 for r in table])
+    blocks = []  # first sentence, sentences, features and their sentences, for some hundred documents each
+    first = 0
+    for at in range(0, len(table), 400):
+        feature = np.frombuffer(b"".join(r[0] for r in table[at:at + 400]), "<i4")
+        sizes = np.frombuffer(b"".join(r[1] for r in table[at:at + 400]), "<i4")
+        keep = known[feature]
+        every = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[keep]
+        blocks.append((first, len(sizes), number[feature[keep]], every))
+        first += len(sizes)
+    count = len(table)
+    del table
     w, b = np.zeros(int(known.sum())), -5.0
     moments = [np.zeros(len(w) + 1), np.zeros(len(w) + 1)]
-    total = weight.sum()
+    total, z = weight.sum(), np.zeros(first)
     for step in range(1, STEPS + 1):
-        z = np.bincount(every, w[feature], len(sizes)) + b
-        odds = np.bincount(doc, np.logaddexp(0, z), len(bags))  # -log(1 - noisy-or)
+        for at, size, feature, every in blocks:
+            z[at:at + size] = np.bincount(every, w[feature], size) + b
+        odds = np.bincount(doc, np.logaddexp(0, z), count)  # -log(1 - noisy-or)
         pull = np.where(y > 0, -np.exp(-odds) / np.maximum(-np.expm1(-odds), 1e-6), 1.0) * weight / total
         slope = pull[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, slope[every], len(w)) + DECAY / 10 * w, slope.sum())
+        grad = np.append(DECAY / 10 * w, slope.sum())
+        for at, size, feature, every in blocks:
+            grad[:-1] += np.bincount(feature, slope[at:at + size][every], len(w))
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad * grad
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-7)
