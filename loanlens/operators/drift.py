@@ -16,7 +16,7 @@ from loanlens.functions.scalar import (
     EPS, bin_left_closed, clip01, flag, logit, psi_term, sigmoid,
 )
 from loanlens.operators.quality import open_inner, reading
-from loanlens.operators.ranking import quantile_edges
+from loanlens.operators.ranking import attach_lookup, quantile_edges
 
 NULL_CATEGORY = "NULO"  # fixed value: nulls are a category of their own
 
@@ -52,7 +52,7 @@ def numeric_profile(long: DataFrame, n_bins: int) -> DataFrame:
         "edges",
         F.when(F.size("edges") >= 3, F.col("edges")).otherwise(
             F.array(F.element_at("edges", 1), F.element_at("edges", 1), F.element_at("edges", -1))))
-    bins = long.join(edges, "feature").groupBy(
+    bins = attach_lookup(long, edges, ["feature"], "edges").groupBy(
         "feature", "edges", bin_left_closed(F.col("v"), open_inner(F.col("edges"))).alias("bin")
     ).agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"))
     share_of = F.map_from_entries(F.collect_list(F.struct("bin", "c")))
@@ -89,7 +89,7 @@ def profile_long(profile: DataFrame) -> DataFrame:
 def psi_numeric(long: DataFrame, profile: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep, feature, psi): one aggregate by (keep, feature, bin) for all features and cohorts."""
     k = list(keep)
-    marked = long.join(profile.select("feature", "edges"), "feature")
+    marked = attach_lookup(long, profile, ["feature"], "edges")
     counts = marked.groupBy(
         *k, "feature", bin_left_closed(F.col("v"), open_inner(F.col("edges"))).alias("bin")
     ).agg(F.count(F.lit(1)).alias("c"))
@@ -135,7 +135,7 @@ def score_drift(df: DataFrame, score: str, profile: DataFrame, warn: float, keep
     means = base.groupBy(*k, "feature").agg(F.avg("_l").alias("_m")).join(
         profile.select("feature", F.col("mean").alias("_ref")), "feature").select(
         *k, "feature", (F.col("_m") - F.col("_ref")).alias("logit_shift"))
-    moved = base.join(means, [*k, "feature"]).select(
+    moved = attach_lookup(base, means, [*k, "feature"], "logit_shift").select(
         *k, "feature", sigmoid(F.col("_l") - F.col("logit_shift")).alias("v"))
     total = psi_numeric(base.select(*k, "feature", "v"), profile, k).withColumnRenamed("psi", "psi_total")
     shape = psi_numeric(moved, profile, k).withColumnRenamed("psi", "psi_shape")

@@ -94,13 +94,18 @@ def project(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
 
 
 def incoherent(published: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Published values that are not exactly the source's, nulls compared as values."""
-    a = published.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns])
+    """Published values that are not exactly the source's, nulls compared as values.
+
+    A row that only one side has is reported once, with the column `(not in source)` or `(not published)`.
+    """
+    a = published.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns], F.lit(True).alias("_published"))
     b = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in columns], F.lit(True).alias("_found"))
-    j = a.join(b, list(keys), "left")
+    j = a.join(b, list(keys), "full_outer")
     cells = F.array_compact(F.array(*[
         F.when(~F.col(f"_p_{c}").eqNullSafe(F.col(f"_s_{c}")), F.lit(c)) for c in columns]))
-    return j.where(F.col("_found")).select(*keys, F.explode(cells).alias("column"))
+    found = F.when(F.col("_found").isNull(), F.array(F.lit("(not in source)"))).when(
+        F.col("_published").isNull(), F.array(F.lit("(not published)"))).otherwise(cells)
+    return j.select(*keys, F.explode(found).alias("column"))
 
 
 def payload_bytes(df: DataFrame) -> DataFrame:

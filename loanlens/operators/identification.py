@@ -22,6 +22,8 @@ def treatment_r2(df: DataFrame, width: float, max_amount: float) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"), F.avg("share").alias("mu"),
              (F.var_pop("share") * F.count(F.lit(1))).alias("ss"))
     )
+    # Cell means are centred on the lowest of them before they are squared, so close means keep their digits.
+    cells = cells.withColumn("mu", F.col("mu") - cells.agg(F.min("mu")).scalar())
     grand = cells.agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum("ss").alias("within"),
         # between = sum c * (mu - grand mean)^2, the population variance of the cell means by weight

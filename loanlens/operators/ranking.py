@@ -1,8 +1,9 @@
 """Global order without a one-partition sort: prefix sums and exact quantiles.
 
-Values are put in order-preserving buckets (1/1024 of a factor of two each). Per-bucket totals are
-small whatever the row count, so the running sum over them is cheap; rows are only ordered inside a
-bucket. The bucket is an expression of the value alone, hence the same after a retry.
+Equal values are summed up first. Distinct values then get an order-preserving key whose upper part is a bucket (1/1024
+of a factor of two) and whose lower part is one of `SLICES` slices of it. Totals by bucket and by slice are small
+whatever the row count; values are only ordered inside a slice, so a bucket that holds most values is still many tasks.
+The key is an expression of the value alone, hence the same after a retry.
 """
 
 from __future__ import annotations
@@ -13,15 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 1024
-SHIFT = 1200 * STEPS  # above 1075 * STEPS, the smallest double's exponent
+SLICES = 4096
+SHIFT = 1200 * STEPS * SLICES  # above 1075 * STEPS * SLICES, the smallest double's exponent
 
 
-def order_bucket(v: Column) -> Column:
+def order_key(v: Column) -> Column:
     """Whole number that never decreases when v grows."""
-    size = F.floor(F.least(F.log2(F.abs(v)) * STEPS, F.lit(1100.0 * STEPS))) + F.lit(SHIFT)
+    size = F.floor(F.least(F.log2(F.abs(v)) * STEPS * SLICES, F.lit(1100.0 * STEPS * SLICES))) + F.lit(SHIFT)
     return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0).cast("bigint"))
 
 
+def _keyed(df: DataFrame, value: str) -> DataFrame:
+    """Adds the bucket and the slice of a value."""
+    key = order_key(F.col(value))
+    return df.withColumns({"_bucket": F.floor(key / SLICES), "_slice": F.pmod(key, F.lit(SLICES))})
+
+
+def _offsets(flat: DataFrame, groups: Sequence[str], names: Sequence[str], *, descending: bool = False) -> DataFrame:
+    """(groups, _bucket, _slice): what comes before the slice, `_off_<name>`, and the group's `<name>_total`."""
+    side = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    slices = flat.groupBy(*groups, "_bucket", "_slice").agg(*[F.sum(n).alias(n) for n in names])
+    buckets = slices.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
+    everything = Window.partitionBy(*groups)  # a row per bucket
+    before = everything.orderBy(side("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(
+        *groups, "_bucket",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_top_{n}") for n in names],
+        *[F.sum(n).over(everything).alias(f"{n}_total") for n in names])
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(side("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        *groups, "_bucket", "_slice", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names],
+        *[F.col(n).alias(f"_of_{n}") for n in names])
+    return slices.join(buckets, [*groups, "_bucket"]).select(
+        *groups, "_bucket", "_slice", *[(F.col(f"_top_{n}") + F.col(f"_in_{n}")).alias(f"_off_{n}") for n in names],
+        *[f"_of_{n}" for n in names], *[f"{n}_total" for n in names])
+
+
 def running_totals(
     df: DataFrame,
     value: str,
@@ -37,29 +65,13 @@ def running_totals(
     """
     g = list(groups)
     names = list(sums)
-    flat = (
-        df.groupBy(*g, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumn("_bucket", order_bucket(F.col(value)))
-    )
-    side = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    per = flat.groupBy(*g, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
-    everything = Window.partitionBy(*g)
-    earlier = everything.orderBy(side("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(
-        *g, "_bucket",
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in names],
-        *[F.sum(n).over(everything).alias(f"{n}_total") for n in names],
-    )
-    inside = (
-        Window.partitionBy(*g, "_bucket").orderBy(side(value))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return flat.join(offsets, [*g, "_bucket"]).select(
+    flat = _keyed(df.groupBy(*g, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), value)
+    place = [*g, "_bucket", "_slice"]
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    inside = Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return flat.join(_offsets(flat, g, names, descending=descending), place).select(
         *g, value, *names,
-        *[
-            (F.col(f"_off_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before")
-            for n in names
-        ],
+        *[(F.col(f"_off_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in names],
         *[f"{n}_total" for n in names],
     )
 
@@ -69,23 +81,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """(groups, prob, value): linear-interpolated exact quantiles, nulls and NaN ignored.
 
-    Two scans and no full sort: bucket counts say which few buckets hold the wanted ranks, and only
-    those are read again and ordered.
+    Rows are combined to counts of distinct values; counts of slices say which slices hold the wanted ranks, and only
+    the values of those (at most two per prob and group) are ordered.
     """
     g = list(groups)
-    base = (
+    place = [*g, "_bucket", "_slice"]
+    counts = (
         df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .select(*g, F.col(value).cast("double").alias("_v"))
-        .withColumn("_bucket", order_bucket(F.col("_v")))
-    )
-    per = base.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    everything = Window.partitionBy(*g)
-    earlier = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per.select(
-        *g, "_bucket", "_c",
-        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_first"),
-        F.sum("_c").over(everything).alias("_n"),
+        .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_k"))
     )
+    base = _keyed(counts, "_v")
+    placed = _offsets(base, g, ["_k"]).select(
+        *place, F.col("_off__k").alias("_first"), F.col("_of__k").alias("_c"), F.col("_k_total").alias("_n"))
     wanted = F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
         for p in probs
@@ -97,14 +105,9 @@ def exact_quantiles(
             F.floor(s["pos"]).between(first, last) | F.ceil(s["pos"]).between(first, last)))
 
     targets = placed.where(F.size(touching(F.col("_first"), F.col("_c"))) > 0).drop("_c")
-    inside = (
-        Window.partitionBy(*g, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = (
-        base.join(targets, [*g, "_bucket"])
-        .groupBy(*g, "_bucket", "_first", "_n", "_v").agg(F.count(F.lit(1)).alias("_k"))
-        .withColumn("_at", F.col("_first") + F.coalesce(F.sum("_k").over(inside), F.lit(0)))
-    )
+    inside = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = base.join(targets, place).withColumn(
+        "_at", F.col("_first") + F.coalesce(F.sum("_k").over(inside), F.lit(0)))
     hit = ranked.select(
         *g, "_v", "_at", "_k",
         F.explode(touching(F.col("_at"), F.col("_k"))).alias("_s"),
@@ -138,3 +141,12 @@ def attach(df: DataFrame, small: DataFrame, groups: Sequence[str], *names: str)
     if groups:
         return df.join(small.select(*groups, *names), list(groups))
     return df.select("*", *[small.select(n).scalar().alias(n) for n in names])
+
+
+def attach_lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], *names: str) -> DataFrame:
+    """Inner join with a table of few keys (features, cohorts) as one map in every row, so rows are not shuffled by
+    a handful of key values. Rows without their key go, as in an inner join."""
+    key = F.struct(*keys)
+    table = small.agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.struct(*names).alias("v"))))).scalar()
+    found = df.withColumn("_found", F.element_at(table, key)).where(F.col("_found").isNotNull())
+    return found.select(*df.columns, *[F.col(f"_found.{n}").alias(n) for n in names])

@@ -91,7 +91,7 @@ CELLS_SQL = f"""{EVENT_SQL}, cy as (select year, county_code, loan_purpose, lien
 
 
 def cells(spark, d):
-    return settle(E.cell_years(panel(spark, d), CFG), 100_000)
+    return settle(E.cell_years(panel(spark, d), CFG))
 
 
 @query("balanced_cells", f"with {CELLS_SQL} select * from bc")
@@ -147,7 +147,7 @@ def trend_adjusted(spark, d):
  (select max(abs(rf - rr)) from t where year > 1999) >= 10 contaminates from t""")
 def differential_selection(spark, d):
     rows = stage(panel(spark, d), "event")
-    return rounded(E.differential_selection(rows, settle(E.cell_years(rows, CFG), 100_000), CFG))
+    return rounded(E.differential_selection(rows, settle(E.cell_years(rows, CFG)), CFG))
 
 
 __all__ = ["F"]

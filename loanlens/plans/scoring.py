@@ -219,8 +219,8 @@ def windows(spark):
 
 @query("stress_cohorts", f"""with {STRESS_SQL}, {auc_sql('st', 'cohort')}, {calibration_sql('st', 'cohort')},
  sz as (select cohort, min(approval_fy) first_fy, max(approval_fy) last_fy from st group by 1)
- , ok as (select *, n >= 500 and n_pos > 0 and n_neg > 0 enough from sz join disc using (cohort) join cal using (cohort))
- select cohort, first_fy, last_fy, n, case when enough then round(observed_rate, 6) end observed_rate, case when enough then round(auc, 6) end auc,
+ , ok as (select *, coalesce(n >= 500 and n_pos > 0 and n_neg > 0, false) enough from win left join sz using (cohort) left join disc using (cohort) left join cal using (cohort))
+ select cohort, first_fy, last_fy, coalesce(n, 0) n, case when enough then round(observed_rate, 6) end observed_rate, case when enough then round(auc, 6) end auc,
  case when enough then round(ks, 6) end ks, case when enough then round(brier, 6) end brier, case when enough then round(predicted_rate, 6) end predicted_rate,
  case when enough then round(calibration_ratio, 6) end calibration_ratio, case when not enough then 'insufficient sample' end note from ok""")
 def stress_cohorts(spark, d):
@@ -285,9 +285,8 @@ def encode_contract(spark, d):
 @query("score_parity", f"""with {LOANS_SQL} select count(*) n, round(max(abs(score_a - cast(cast(score_a as real) as double))), 12) max_diff,
  max(abs(score_a - cast(cast(score_a as real) as double))) <= 1e-5 equal from loans""")
 def score_parity(spark, d):
-    a = loans(spark, d, "loan_id", "score_a")
-    b = a.select("loan_id", F.col("score_a").cast("float").cast("double").alias("stored"))
-    return M.parity(a, b, ["loan_id"], "score_a", "stored").withColumn("max_diff", F.round("max_diff", 12))
+    both = loans(spark, d, "score_a").withColumn("stored", F.col("score_a").cast("float").cast("double"))
+    return M.parity(both, "score_a", "stored").withColumn("max_diff", F.round("max_diff", 12))
 
 
 @query("batch_score_loss", f"""with {LOANS_SQL}, el as (select loan_id, score_b p, score_b * 0.735e0 * gross_approval loss, guaranteed / nullif(gross_approval, 0) share from loans)

@@ -38,15 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, limit: int = 20_000) -> DataFrame:
-    """Compute a summary table once and reuse it.
+def settle(df: DataFrame) -> DataFrame:
+    """Write a summary that several plans read once to the shared folder and read it back, whatever its size.
 
-    Up to `limit` rows it becomes a local relation, whose known size lets Spark broadcast it;
-    a larger one is written with a reliable checkpoint and joined by shuffle.
+    Spark sees the true size of the written table and decides by it whether to broadcast.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return spark.createDataFrame(rows, df.schema)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "summary")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
