@@ -219,4 +219,9 @@ def require_fresh(profile_fingerprint: str, cfg: Settings) -> None:
         raise ValueError(f"profile {profile_fingerprint} was built for other settings than {cfg.fingerprint()}: rebuild it")
 
 
+def with_refusal(profile: DataFrame, cfg: Settings) -> DataFrame:
+    """Adds whether a stored profile's rows were built under other settings, so a report can name them."""
+    return profile.withColumn("refused", F.col("fingerprint") != cfg.fingerprint())
+
+
 __all__ = ["flag"]

@@ -219,7 +219,14 @@ def split_out_of_time(spark, d):
         F.min("approval_fy").alias("first_fy"), F.max("approval_fy").alias("last_fy"))
 
 
-@query("sample_bernoulli")
+def _draw_sql(key):
+    return f"cast('0x' || substr(md5(concat_ws('|', {key}, '{CFG.seed}')), 1, 12) as bigint)"
+
+
+@query("sample_bernoulli", f"""with {LOANS_SQL}, k as (select *, {_draw_sql('loan_id')} % 1000000 u from loans), s as (
+ {" union all ".join(f"select '{s}' split, is_denied from k where approval_fy between {w[0]} and {w[1]} and u < {int(round(dict(CFG.sample_pct)[s] * 10_000))}"
+                     for s, w in (("train", CFG.application_train), ("valid", CFG.application_valid), ("test", CFG.application_test)))})
+ select split, count(*) sampled, round(avg(is_denied), 6) denial_rate from s group by split""")
 def sample_bernoulli(spark, d):
     keyed = loans(spark, d, "loan_id", "approval_fy", "is_denied")
     windows = (("train", *CFG.application_train), ("valid", *CFG.application_valid), ("test", *CFG.application_test))
@@ -227,7 +234,8 @@ def sample_bernoulli(spark, d):
     return picked.groupBy("split").agg(n().alias("sampled"), r(F.avg("is_denied")).alias("denial_rate"))
 
 
-@query("sample_n")
+@query("sample_n", f"""with {LOANS_SQL} select loan_id, score_a, score_b from loans
+ order by {_draw_sql('loan_id')}, loan_id, score_a, score_b limit 20000""")
 def sample_n(spark, d):
     return A.sample_n(loans(spark, d, "loan_id", "score_a", "score_b"), ["loan_id"], 20_000, CFG.seed)
 

@@ -153,10 +153,13 @@ def drift_by_cohort(spark, d):
         "without_support", F.array_join(F.map_keys("unsupported"), ",")).drop("unsupported"))
 
 
-@query("stale_profile_guard")
+@query("stale_profile_guard", f"""with {POP_SQL}, f as (select distinct feature from numl where approval_fy between 1995 and 1997 and v is not null)
+ select feature, '{CFG.fingerprint()}' fingerprint, false refused from f union all select feature, repeat('0', 16), true from f""")
 def stale_profile_guard(spark, d):
-    drift.require_fresh(CFG.fingerprint(), CFG)
-    return numeric_profile(population(spark, d)).select("feature", F.lit(CFG.fingerprint()).alias("fingerprint"))
+    """The profile as it is stored and a copy that other settings built; the second is refused, as data and when used."""
+    stored = numeric_profile(population(spark, d)).select("feature", F.explode(F.array(
+        F.lit(CFG.fingerprint()), F.lit("0" * 16))).alias("fingerprint"))
+    return drift.with_refusal(stored, CFG)
 
 
 TRIG_VOC_SQL = """tv as (select 'vocabulary' as trigger, count(*) > 0 fired, coalesce(string_agg(printf('%s %.3f', feature, mass), ', ' order by mass desc, feature),

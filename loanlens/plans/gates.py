@@ -17,7 +17,7 @@ from loanlens.plans.registry import n, query, r, rounded
 from loanlens.plans.scoring import STRESS_SQL, windows
 from loanlens.session import scratch_path, settle
 from loanlens.sources import files
-from loanlens.sources.testbed import loans
+from loanlens.sources.testbed import LOANS_SQL, loans
 
 
 def performance(spark, d):
@@ -62,13 +62,13 @@ def gate_verdict(spark, d):
     return G.verdict(fairness_gate(spark, d)).select("model", "gate", "verdict")
 
 
-@query("config_fingerprint")
+@query("config_fingerprint", f"with {LOANS_SQL} select split, count(*) n, '{CFG.fingerprint()}' fingerprint from loans group by split")
 def config_fingerprint(spark, d):
     df = loans(spark, d, "split", "is_bad")
     return df.groupBy("split").agg(n().alias("n"), F.lit(CFG.fingerprint()).alias("fingerprint"))
 
 
-@query("gate_report_fresh")
+@query("gate_report_fresh", "select * from (values ('current', true), ('stale', false)) v(report, fresh)")
 def gate_report_fresh(spark, d):
     """Two written reports, one of them from other settings."""
     base = scratch_path(spark, "reports")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanlens.config import TESTBED as CFG
 from loanlens.functions import scalar as S
 from loanlens.operators import drift
-from loanlens.plans.drift import NUM, numeric_profile, population
+from loanlens.plans.drift import NUM, POP_SQL, numeric_profile, population
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import scratch_path
 from loanlens.sources import files
@@ -134,7 +134,7 @@ def export_results(spark, d):
         spark.read.schema(schema).json(f"{base}/json").select(F.lit("json").alias("format"), "*"))
 
 
-@query("profile_roundtrip")
+@query("profile_roundtrip", f"with {POP_SQL} select feature, count(*) bins, true identical from prof where feature <> 'score' group by feature")
 def profile_roundtrip(spark, d):
     """A stored profile and its copy read back, with the largest difference of their bounds."""
     path = scratch_path(spark, "profile")

@@ -67,12 +67,17 @@ def application_panel(raw: DataFrame) -> DataFrame:
     )
 
 
+def draw_of(key: Sequence[str], seed: int) -> Column:
+    """48 bits of the key's MD5, a digest that other engines compute alike."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
 def sample_fraction(
     df: DataFrame, key: Sequence[str], pct: float, seed: int
 ) -> DataFrame:
     """Streaming Bernoulli sample that depends on the row key only, not on the file layout."""
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000))
-    return df.where(draw < F.lit(int(round(pct * 10_000))))
+    return df.where(draw_of(key, seed) % 1_000_000 < F.lit(int(round(pct * 10_000))))
 
 
 def sample_split(
@@ -80,7 +85,7 @@ def sample_split(
     key: Sequence[str], seed: int, year: str = "activity_year",
 ) -> DataFrame:
     """Declared share of each split, one pass."""
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000))
+    draw = draw_of(key, seed) % 1_000_000
     split, keep = F.lit(None).cast("string"), F.lit(0)
     for name, first, last in windows:
         inside = F.col(year).between(first, last)
@@ -90,8 +95,11 @@ def sample_split(
 
 
 def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n rows chosen by hashed key: a top-n per task, then one merge of n rows per task."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows chosen by hashed key: a top-n per task, then one merge of n rows per task.
+
+    Rows that repeat a key are ordered by all their columns.
+    """
+    return df.orderBy(draw_of(key, seed), *df.columns).limit(n)
 
 
 def event_panel(raw: DataFrame, cfg: Settings) -> DataFrame:
