@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanlens.config import TESTBED as CFG
+from loanlens.config import LOAN_CATEGORICAL, LOAN_NUMERIC, TESTBED as CFG
 from loanlens.operators import cohorts, drift
 from loanlens.plans.aggregates import MATCHED_SQL, REFERENCE_SQL, as_of, matched, resolutions
 from loanlens.plans.registry import n, query, r, rounded
 from loanlens.session import settle
 from loanlens.sources.files import stage
-from loanlens.sources.testbed import LOANS_SQL, loans
-
-NUM = ("gross_approval", "initial_rate", "jobs_supported")
-CAT = ("business_age", "processing_method", "collateral_ind")
+from loanlens.sources.testbed import LOAN_COLUMNS, cte, loans
+
+NUM, CAT = LOAN_NUMERIC, LOAN_CATEGORICAL
+READ = ("gross_approval", "guaranteed", "initial_rate", "jobs_supported", "business_age", "processing_method", "collateral_ind",
+        "NaicsCode", "BusinessType", "RevolverStatus", "FixedorVariableInterestInd", "BorrState", "FranchiseCode")
+#: Features that a booked loan's other columns give, as expressions that both engines read. The share is rounded, as
+#: values that differ in their last bit would make different edges.
+DERIVED = {
+    "sba_guaranteed": "guaranteed",
+    "guarantee_pct": "round(guaranteed / nullif(gross_approval, 0), 6)",
+    "log_gross_approval": "ln(gross_approval)",
+    "naics_sector": "substr(trim(NaicsCode), 1, 2)",
+    "business_type": "trim(BusinessType)",
+    "revolver_status": "trim(RevolverStatus)",
+    "rate_type": "trim(FixedorVariableInterestInd)",
+    "borrower_state": "trim(BorrState)",
+    "has_franchise": "cast(case when coalesce(trim(FranchiseCode), '') <> '' then 1 else 0 end as string)",
+}
 PROBS = ", ".join(str(i / 10) for i in range(11))
 
 
 def population(spark, d):
     """Booked loans, written once: profiles, features and scores all read it."""
-    return stage(loans(spark, d, "approval_fy", "status", "score_a", *NUM, *CAT).where(
-        ~F.col("status").isin(list(CFG.not_booked_statuses))), "booked")
+    booked = loans(spark, d, "approval_fy", "status", "score_a", *READ).where(~F.col("status").isin(list(CFG.not_booked_statuses)))
+    wide = booked.withColumns({c: F.expr(e) for c, e in DERIVED.items()})
+    return stage(wide.select("approval_fy", "status", "score_a", *NUM, *CAT), "booked")
 
 
 def training(pop):
@@ -31,12 +46,13 @@ def watched(pop):
     return pop.where(F.col("approval_fy") >= CFG.watch_from)
 
 
-POP_SQL = f"""{LOANS_SQL}, pop as (select * from loans where status not in ('CANCLD')), tr as (select * from pop where approval_fy between 1995 and 1997),
+POP_SQL = f"""{cte("loans", *dict.fromkeys([*LOAN_COLUMNS, *READ]))}, pop as (select *, {", ".join(f"{e} {c}" for c, e in DERIVED.items())}
+  from loans where status not in ('CANCLD')), tr as (select * from pop where approval_fy between 1995 and 1997),
  wa as (select * from pop where approval_fy >= 1998),
- numl as (select approval_fy, feature, v from (unpivot (select approval_fy, gross_approval, initial_rate, jobs_supported from pop)
-  on gross_approval, initial_rate, jobs_supported into name feature value v)),
- catl as (select approval_fy, feature, category from (unpivot (select approval_fy, business_age, processing_method, collateral_ind from pop)
-  on business_age, processing_method, collateral_ind into name feature value category)),
+ numl as (select approval_fy, feature, v from (unpivot (select approval_fy, {", ".join(f"cast({c} as double) {c}" for c in NUM)} from pop)
+  on {", ".join(NUM)} into name feature value v)),
+ catl as (select approval_fy, feature, category from (unpivot (select approval_fy, {", ".join(f"coalesce({c}, 'NULO') {c}" for c in CAT)} from pop)
+  on {", ".join(CAT)} into name feature value category)),
  scol as (select approval_fy, 'score' feature, least(greatest(score_a, 1e-6), 1 - 1e-6) v from pop),
  alln as (select * from numl union all select * from scol),
  edges as (select feature, list_sort(list_distinct(quantile_cont(v, [{PROBS}]))) edges from alln where approval_fy between 1995 and 1997 group by feature),

@@ -205,9 +205,9 @@ def _cte(name: str, wanted: dict[str, str]) -> str:
     return f"{name} as (select {cols}\n from lineitem {joins})"
 
 
-_LOAN_COLUMNS = [c for c in COLUMNS if c not in RAW_LOAN_FIELDS and c not in RAW_APPLICATION_FIELDS
+LOAN_COLUMNS = [c for c in COLUMNS if c not in RAW_LOAN_FIELDS and c not in RAW_APPLICATION_FIELDS
                  and not c.endswith("_text")] + ["income", "loan_purpose", "lien_status", "county_code"]
-LOANS_SQL = _cte("loans", {c: c for c in dict.fromkeys(_LOAN_COLUMNS)})
+LOANS_SQL = _cte("loans", {c: c for c in dict.fromkeys(LOAN_COLUMNS)})
 RAW_LOANS_SQL = _cte("raw_loans", {c: c for c in RAW_LOAN_FIELDS})
 RAW_APPLICATIONS_SQL = _cte(
     "raw_applications", {c: _RAW_NAME.get(c, c) for c in RAW_APPLICATION_FIELDS}
