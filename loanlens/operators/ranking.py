@@ -24,10 +24,15 @@ def order_key(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0).cast("bigint"))
 
 
+def order_bucket(v: Column) -> Column:
+    """The key's upper part."""
+    return F.floor(order_key(v) / SLICES)
+
+
 def _keyed(df: DataFrame, value: str) -> DataFrame:
     """Adds the bucket and the slice of a value."""
-    key = order_key(F.col(value))
-    return df.withColumns({"_bucket": F.floor(key / SLICES), "_slice": F.pmod(key, F.lit(SLICES))})
+    v = F.col(value)
+    return df.withColumns({"_bucket": order_bucket(v), "_slice": F.pmod(order_key(v), F.lit(SLICES))})
 
 
 def _offsets(flat: DataFrame, groups: Sequence[str], names: Sequence[str], *, descending: bool = False) -> DataFrame:

@@ -82,10 +82,10 @@ def test_declared_years_must_exist(spark, tmp_path):
         files.read_years(spark, path, [2001, 2007])
 
 
-def test_settle_both_ways(spark):
+def test_settle(spark):
     df = spark.range(50)
-    assert settle(df, 100).count() == 50
-    assert settle(df, 10).agg(F.sum("id")).first()[0] == 1225
+    assert settle(df).count() == 50
+    assert settle(df).agg(F.sum("id")).first()[0] == 1225
 
 
 def test_harmonised_support_is_summed(spark):

@@ -19,12 +19,8 @@ def load(path):
 entry = load(ROOT / "__spark_entry__.py")
 check = load(ROOT / "tools" / "check.py")
 
-SAMPLE = (
-    "feature_job", "panel_loans", "scan_csv_union", "scan_parquet_years", "contract_check", "matched_maturity",
-    "join_semi_cells", "cumulative_by_score", "auc_gini_ks", "brier_ece", "drift_bands", "retrain_decision",
-    "fairness_report", "woe_binning", "stress_cohorts", "decision_curve", "kitagawa", "within_cell_estimator",
-    "faithfulness", "rewrite_gate", "gates_performance", "publish_projection",
-)
+#: Queries that may find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 def test_entry(spark):
@@ -36,7 +32,7 @@ def test_every_check_has_a_query():
     assert len(entry.queries()) > 150
 
 
-@pytest.mark.parametrize("key", SAMPLE)
+@pytest.mark.parametrize("key", sorted(check.registry.CHECKS))
 def test_query_matches_its_check(spark, key):
     verdict, _, info = check.compare(key, spark, SMALL)
-    assert verdict in ("ok", "EMPTY"), info
+    assert verdict == "ok" or verdict == "EMPTY" and key in MAY_BE_EMPTY, (verdict, info)
