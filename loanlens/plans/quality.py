@@ -71,9 +71,10 @@ def brier_ece(spark, d):
 
 
 @query("reliability_table", f"""with {SCORED_SQL}, {calibration_sql('scored', 'model, split')}
- select model, split, cast(bin as integer) bin, n, round(sp / n, 6) predicted, round(sy * 1e0 / n, 6) observed, round((sp - sy) / n, 6) difference from bins""")
+ select model, split, cast(bin as integer) bin, n, round(sp / n, 12) predicted, round(sy * 1e0 / n, 12) observed, round((sp - sy) / n, 12) difference from bins""")
 def reliability_table(spark, d):
-    return rounded(Q.reliability_table(scored(spark, d, "split"), "y", "p", ["model", "split"], CFG.n_bins))
+    # Means of scores with six digits can end in a five at the seventh; twelve digits have no such ties.
+    return rounded(Q.reliability_table(scored(spark, d, "split"), "y", "p", ["model", "split"], CFG.n_bins), 12)
 
 
 PSI_SOURCE_SQL = f"""{SCORED_SQL}, sides as (select model, p v, split = 'train' ref from scored where split in ('train', 'test'))"""
