@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loanlens.llm.common import free_name, lower_az
 
-BUDGET = 48 << 20  # bytes of text that a table may hold
+BUDGET = 24 << 20  # bytes of text that a table may hold
 FAN_OUT = 16
 BITS = 4
 
