@@ -32,7 +32,7 @@ from loanlens.llm.common import LOWER_AZ
 CAPACITY = 4096
 SLACK = 64
 END_ID = 2
-REMEMBERED = 300_000  # words that a Python worker keeps
+REMEMBERED = 400_000  # words that a Python worker keeps
 MARKS = string.punctuation.encode()
 
 #: A piece: document id, start in the document, ids, tokens of the document.
