@@ -6,7 +6,8 @@ other, whatever their length, since the pointers meet again after an edit. A fin
 fixed steps: `SAMPLES` in each octave of steps, so that short and long texts are covered alike. Weighted by the
 octaves' widths, the share of equal samples estimates the Hamming similarity.
 
-`edit_pairs` finds close pairs: bands of sampled steps are join keys, and what meets is verified by its likeness.
+Bands are keys of a few more sampled steps each; two texts are linked if a band meets and the likeness verifies it.
+`with_followers` says so for each text and its edit or follower; `edit_pairs` finds all linked pairs of a table.
 
 The random bits have a period of `PERIOD` steps; how many steps the pointer stays is then a table lookup, and the
 walks of many texts advance together, a character at a time.
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import staged
+
 PERIOD = 4096
 SAMPLES = 32
 OCTAVES = 40
@@ -33,6 +36,7 @@ WIDTH = 512  # texts that walk together
 NARROW = 24  # fewer walk one by one
 TOGETHER = 6_000_000  # characters held at a time
 BANDS, ROWS = 24, 5
+ALIKE = 0.8
 SEED = 20
 
 
@@ -139,8 +143,23 @@ def fingerprint(text: str | None) -> str:
     return sampled(walk_all([coded], np.zeros(1, np.int64))[0], coded).hex()
 
 
+@lru_cache(maxsize=OCTAVES)
+def _band_steps(octave: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(SEED + 100 + octave)).integers(0, 1 << octave, BANDS * ROWS)
+
+
+def band_keys(steps: np.ndarray, text: np.ndarray) -> list[str]:
+    """Keys of the bands up to the walk's last whole octave and up to the one below it."""
+    top = int(steps[-1]).bit_length() - 1
+    keys = []
+    for octave in sorted({max(top, 0), max(top - 1, 0)}):
+        symbols = symbols_at(steps, text, _band_steps(octave)).reshape(BANDS, ROWS)
+        keys += [f"{octave}:{i}:{row.tobytes().hex()}" for i, row in enumerate(symbols)]
+    return keys
+
+
 FIELDS = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-          " near_edited double, near_next double")
+          " near_edited double, near_next double, edited_linked boolean, next_linked boolean")
 
 
 def _edited_rows(rows: list[tuple[int | None, str]], following: str) -> Iterator[tuple]:
@@ -149,14 +168,18 @@ def _edited_rows(rows: list[tuple[int | None, str]], following: str) -> Iterator
     coded = [classes(t) for t in texts]
     steps = walk_all(coded, np.zeros(len(texts), np.int64))
     marks = [sampled(s, c) for s, c in zip(steps, coded)]
+    bands = [set(band_keys(s, c)) for s, c in zip(steps, coded)]
     keep = [len(t) - len(t) // 2 for t in texts[:-1]]
     tails = [coded[i + 1][:len(texts[i]) // 2] for i in range(len(rows))]
     tail_steps = walk_all(tails, np.array([steps[i][k] for i, k in enumerate(keep)], np.int64))
     for i, (doc_id, text) in enumerate(rows):
         edited = text[:keep[i]] + texts[i + 1][:len(text) // 2]
-        mark = sampled(np.concatenate([steps[i][:keep[i]], tail_steps[i]]), np.concatenate([coded[i][:keep[i]], tails[i]]))
+        walk = np.concatenate([steps[i][:keep[i]], tail_steps[i]]), np.concatenate([coded[i][:keep[i]], tails[i]])
+        mark = sampled(*walk)
+        near_edited, near_next = likeness(marks[i], mark), likeness(marks[i], marks[i + 1])
         yield (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), marks[i].hex(), mark.hex(),
-               likeness(marks[i], mark), likeness(marks[i], marks[i + 1]))
+               near_edited, near_next, near_edited >= ALIKE and not bands[i].isdisjoint(band_keys(*walk)),
+               near_next >= ALIKE and not bands[i].isdisjoint(bands[i + 1]))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -204,7 +227,7 @@ def with_followers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
         def batch(following: str) -> pa.RecordBatch:
             columns = list(zip(*_edited_rows(rows, following)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in FIELDS.split(", ")])
 
         for incoming in batches:
@@ -226,21 +249,11 @@ def with_followers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return placed.mapInArrow(run, FIELDS)
 
 
-def _band_keys(steps: np.ndarray, text: np.ndarray) -> list[str]:
-    """Keys of the bands over the walk's last whole octave range and the one below it."""
-    top = int(steps[-1]).bit_length() - 1
-    keys = []
-    for octave in {max(top, 0), max(top - 1, 0)}:
-        wanted = np.random.Generator(np.random.PCG64(SEED + 100 + octave)).integers(0, 1 << octave, (BANDS, ROWS))
-        symbols = symbols_at(steps, text, wanted.ravel()).reshape(BANDS, ROWS)
-        keys += [f"{octave}:{i}:{row.tobytes().hex()}" for i, row in enumerate(symbols)]
-    return keys
-
-
-def edit_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def edit_pairs(docs: DataFrame, least: float = ALIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b, likeness: pairs of different texts (by their smallest id) whose bands meet and whose likeness is verified.
 
-    Equal texts are one row before the join, so copies make no pairs.
+    Equal texts are one row before the join, so copies make no pairs. Only ids meet; each pair is verified once. A band
+    that many different texts share is a skewed side that Spark may split.
     """
     distinct = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy(
         F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
@@ -251,12 +264,14 @@ def edit_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text
             steps = walk_all(coded, np.zeros(len(coded), np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([sampled(s, c) for s, c in zip(steps, coded)], pa.binary()),
-                pa.array([_band_keys(s, c) for s, c in zip(steps, coded)], pa.list_(pa.string()))], ["id", "mark", "bands"])
-
-    marked = distinct.select("id", "text").mapInArrow(run, "id bigint, mark binary, bands array<string>")
-    keys = marked.select("id", "mark", F.explode("bands").alias("band"))
-    left, right = (keys.select(F.col("id").alias(n), F.col("mark").alias(f"mark_{n}"), "band") for n in ("a", "b"))
-    met = left.join(right, "band").where("a < b").dropDuplicates(["a", "b"])
+                pa.array([band_keys(s, c) for s, c in zip(steps, coded)], pa.list_(pa.string()))], ["id", "mark", "bands"])
+
+    marked = staged(distinct.select("id", "text").mapInArrow(run, "id bigint, mark binary, bands array<string>"), "edit-marks")
+    keys = marked.select("id", F.explode(F.transform("bands", lambda b: F.xxhash64(b))).alias("band"))
+    left, right = (keys.withColumnRenamed("id", n) for n in ("a", "b"))
+    met = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    for n in ("a", "b"):
+        met = met.join(marked.select(F.col("id").alias(n), F.col("mark").alias(f"mark_{n}")), n)
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,12 +61,19 @@ def test_followers(spark, odd):
             assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert row.edited_fingerprint == edit_fingerprint.fingerprint(edited)
             assert row.near_edited == edit_fingerprint.likeness(bytes.fromhex(row.fingerprint), bytes.fromhex(row.edited_fingerprint))
+        assert row.near_edited >= 0.8 or not row.edited_linked
+        assert row.near_next >= 0.8 or not row.next_linked
 
 
 def test_one_and_no_row(make, none):
     assert edit_fingerprint.with_followers(none).count() == 0
     row = edit_fingerprint.with_followers(make([(3, "abcd")])).first()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1.0
+    assert row.next_linked
+    random.seed(9)
+    text = "".join(random.choices("abcdefgh ", k=2000))
+    rows = {r.doc_id: r for r in edit_fingerprint.with_followers(make([(3, text), (2, text[:900] + "Q" + text[901:]), (1, text[::-1])])).collect()}
+    assert rows[3].next_linked and not rows[2].next_linked
 
 
 def test_pairs(make):
