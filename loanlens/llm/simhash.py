@@ -206,12 +206,16 @@ def near_groups(docs: DataFrame, width: int, distance: int = DISTANCE, doc_id: s
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
 
 
-def near_dedup(docs: DataFrame, width: int, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, whole: one of each group. Rows that repeat id and text count once."""
+def representatives(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, whole. Rows that repeat id and text count once."""
     keep, seen, own, nth = (free_name(docs, n) for n in ("kept_id", "kept_hash", "hash_of_row", "nth_of_row"))
-    kept = near_groups(docs, width, distance, doc_id, text).where("stays").select(
-        F.col("doc_id").alias(keep), F.col("text_hash").alias(seen))
+    kept = groups.where("stays").select(F.col("doc_id").alias(keep), F.col("text_hash").alias(seen))
     rows = docs.withColumn(own, F.xxhash64(text))
     rows = rows.join(kept, rows[doc_id].cast("bigint").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(seen)), "left_semi")
     order = F.row_number().over(Window.partitionBy(doc_id, own).orderBy(F.lit(1)))
     return rows.withColumn(nth, order).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(docs: DataFrame, width: int, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, whole: one of each group. Rows that repeat id and text count once."""
+    return representatives(docs, near_groups(docs, width, distance, doc_id, text), doc_id, text)
