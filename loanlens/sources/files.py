@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -97,19 +98,37 @@ def vintage_as_of(df: DataFrame, column: str = "AsOfDate") -> DataFrame:
     )
 
 
-MAX_BLOB = 512 * 1024 * 1024  # a file is one value of a row; larger ones are refused
+BLOB = 128 * 1024 * 1024  # up to here a file is one value of a row; larger ones are streamed
+
+
+def _streamed_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one file of any size and file system, by the driver's JVM as a stream in constant memory."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(place)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of each file, hashed on the executors."""
+    """(name, bytes, sha256) of each file: hashed on the executors up to `BLOB` bytes, streamed one by one above.
+
+    Executors' Python cannot open every store, and Spark hands out a file there as one value only.
+    """
     files = spark.read.format("binaryFile").load(path)
-    big = F.col("length") > F.lit(MAX_BLOB)
-    content = F.when(big, F.raise_error(F.lit("file too large to hash as one value")).cast("binary"))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("bytes"),
-        F.sha2(content.otherwise(F.col("content")), 256).alias("sha256"),
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    whole = files.where(F.col("length") <= BLOB).select(
+        name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    sizes = {r["path"]: (r["name"], r["length"]) for r in files.select("path", name, "length").collect()}  # a listing, no content
+    streamed = [(n, size, _streamed_digest(spark, p)) for p, (n, size) in sizes.items() if size > BLOB]
+    listed = files.inputFiles()
+    if len(listed) > len(sizes):  # Spark makes no row of an empty file
+        jvm = spark.sparkContext._jvm
+        paths = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(p)).toString() for p in listed}
+        streamed += [(p.rsplit("/", 1)[-1], 0, hashlib.sha256().hexdigest()) for p in sorted(paths - sizes.keys())]
+    return whole.unionByName(spark.createDataFrame(streamed, whole.schema)) if streamed else whole
 
 
 def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:

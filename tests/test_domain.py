@@ -1,6 +1,7 @@
 """Known answers and semantic traps of the domain operators."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -202,3 +203,13 @@ def test_manifest_verdicts(spark, tmp_path):
     manifest = spark.createDataFrame([("a.txt", good["a.txt"]), ("b.txt", "x"), ("c.txt", "y")], "name string, sha256 string")
     out = {r["name"]: r["verdict"] for r in files.verify_manifest(manifest, digests).collect()}
     assert out == {"a.txt": "OK", "b.txt": "MISMATCH", "c.txt": "MISSING"}
+
+
+def test_digests_have_no_size_limit(spark, tmp_path, monkeypatch):
+    texts = {"small.bin": b"abc", "none.bin": b"", "large one.bin": bytes(range(256)) * 5000}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    for attribute in ("BLOB", "MAX_BLOB"):
+        monkeypatch.setattr(files, attribute, 3, raising=False)
+    found = {r["name"]: (r["bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path / "*.bin")).collect()}
+    assert found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in texts.items()}
