@@ -92,7 +92,7 @@ class UrlModel:
         buckets = _buckets(host, path)
         weights = F.lit(self.weights)
         total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
-        margin = F.when(host == "", F.lit(0.0)).otherwise(total / F.sqrt(F.size(buckets))) + self.intercept
+        margin = F.when((host == "") & (path == ""), F.lit(0.0)).otherwise(total / F.sqrt(F.size(buckets))) + self.intercept
         return 1 / (1 + F.exp(-margin))
 
 

@@ -252,3 +252,12 @@ def test_crc_of_ids(spark):
     from loanlens.llm.common import fold
     assert [r.f for r in spark.range(50).select(fold("id", 7).alias("f")).collect()] == [zlib.crc32(str(i).encode()) % 7 for i in range(50)]
     assert set(queries.CHECKS) <= set(queries.QUERIES)
+
+
+def test_url_without_host_is_scored_by_its_path(spark):
+    from loanlens.llm import url_filter
+
+    model = url_filter.UrlModel([1.0] * url_filter.DIMENSIONS, 0.0)
+    rows = spark.createDataFrame([(1, "file:///casino-bonus/win"), (2, None), (3, "x")], "page_id bigint, url string")
+    scores = {r.page_id: r.block_score for r in url_filter.judge_urls(rows, model).collect()}
+    assert scores[1] > 0.9 and scores[2] == scores[3] == 0.5
