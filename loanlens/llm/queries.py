@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import chat, edit_fingerprint, exact_dedup, hpylm, mixing, packing, quality_fm, simhash, toxicity, url_filter
+from loanlens.llm import (
+    chat, edit_fingerprint, exact_dedup, hpylm, mixing, ngram_join, packing, quality_fm, simhash, spelling, toxicity, turn_repair, url_filter)
 from loanlens.llm.common import fold, table
 
 THRESHOLD = 0.3
@@ -100,7 +101,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(turn_repair.messages(table(spark, sf_dir, "conversations")))
+    return turn_repair.summaries(turn_repair.edits(rows))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"), width=4, similar=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_hpylm, op3_edit_fingerprint, op4_mixing, op5_exact_dedup, op6_url_filter, op7_packing, op8_simhash,
-    op9_quality_fm, op10_chat)}
+    op9_quality_fm, op10_chat, op11_turn_repair, op12_spelling, op13_ngram_join)}
 CHECKS = {"op5_exact_dedup": OP5_SQL, "op10_chat": OP10_SQL}
