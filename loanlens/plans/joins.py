@@ -22,7 +22,7 @@ from loanlens.sources.testbed import loans, raw_applications, table
 
 @query("join_equi_aggregate_back", f"""with {IDENT_SQL}, b as (select *, cast(floor(amount / 10000) as bigint) cell from base),
  c as (select method, cell, avg(share) mu, count(*) n from b group by 1, 2)
- select b.method, b.cell, round(sum(power(share - mu, 2)), 6) ss, count(*) n from b join c on b.method = c.method and b.cell = c.cell group by 1, 2""")
+ select b.method, b.cell, round(sum(power(share - mu, 2)), 9) ss, count(*) n from b join c on b.method = c.method and b.cell = c.cell group by 1, 2""")
 def join_equi_aggregate_back(spark, d):
     base = identification_base(spark, d).withColumn("cell", F.floor(F.col("amount") / 10_000))
     # Equal shares of a cell are one row before the join, so a cell that holds most loans is no hot key.
@@ -30,7 +30,7 @@ def join_equi_aggregate_back(spark, d):
     means = shares.groupBy("method", "cell").agg((F.sum(F.col("share") * F.col("k")) / F.sum("k")).alias("mu"))
     off = F.col("share") - F.col("mu")
     return shares.join(means, ["method", "cell"]).groupBy("method", "cell").agg(
-        r(F.sum(off * off * F.col("k"))).alias("ss"), F.sum("k").alias("n"))
+        r(F.sum(off * off * F.col("k")), 9).alias("ss"), F.sum("k").alias("n"))
 
 
 @query("join_scalar", f"""with {IDENT_SQL} select method, round(avg(share) - (select avg(share) from base), 6) off_mean,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanlens.config import (
     APPLICATION_CATEGORICAL, APPLICATION_NUMERIC, LOAN_CATEGORICAL, LOAN_NUMERIC, NON_GROUPS, TESTBED as CFG,
 )
+from loanlens.operators import boosting as B
 from loanlens.operators import calibrate as C
 from loanlens.operators import fairness as FA
 from loanlens.operators import models as M
@@ -39,40 +40,52 @@ def test_metrics(df, p, by=("split",)):
     return Q.summary(df.select(*by, Y, F.col(p).alias("p")), Y, "p", list(by), CFG.n_bins)
 
 
-WOE_NUM = ("gross_approval", "jobs_supported", "initial_rate")
-WOE_CAT = ("business_age", "processing_method", "rate_type")
 _WOE_TAIL = """tt as (select *, sum(events) over (partition by feature) te, sum(n - events) over (partition by feature) tg from bins),
- ww as (select feature, bin, n, events, events * 1e0 / te b, (n - events) * 1e0 / tg g from tt),
- woe as (select feature, bin, n, events, events * 1e0 / n event_rate, case when b > 0 and g > 0 then ln(g / b) else 0 end woe,
+ ww as (select feature, bin, lo, label, n, events, events * 1e0 / te b, (n - events) * 1e0 / tg g from tt),
+ woe as (select feature, bin, lo, label, n, events, events * 1e0 / n event_rate, case when b > 0 and g > 0 then ln(g / b) else 0 end woe,
   (g - b) * case when b > 0 and g > 0 then ln(g / b) else 0 end iv,
   (case when b > 0 then b * ln(b / ((b + g) / 2)) else 0 end + case when g > 0 then g * ln(g / ((b + g) / 2)) else 0 end) / 2 js from ww)"""
+_CASTS = ", ".join(f"cast(coalesce({c}, -9e9) as double) {c}" for c in NUM)
+_TEXTS = ", ".join(f"coalesce(cast({c} as varchar), 'NULO') {c}" for c in CAT)
+_PROBS = ", ".join(str(i / CFG.n_bins) for i in range(CFG.n_bins + 1))
+# Blocks by the max-min formula of isotonic regression, which shares nothing with the fold over bins.
 WOE_SQL = f"""{PANEL_SQL}, tp as (select * from panel where approval_fy between 1995 and 1997),
- nl as (select feature, v, y from (unpivot (select is_chargeoff y, coalesce(gross_approval, -9e9) gross_approval, coalesce(jobs_supported, -9e9) jobs_supported,
-  coalesce(initial_rate, -9e9) initial_rate from tp) on gross_approval, jobs_supported, initial_rate into name feature value v)),
- ne as (select feature, list_sort(list_distinct(quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1]))) edges from nl where v > -9e9 group by 1),
- nb as (select feature, case when v = -9e9 then '-1' else cast(len(list_filter(edges[2:len(edges) - 1], lambda x: x <= v)) as varchar) end bin,
-  count(*) n, cast(sum(y) as bigint) events from nl join ne using (feature) group by 1, 2),
- cb as (select feature, category bin, count(*) n, cast(sum(y) as bigint) events from (unpivot (select is_chargeoff y, coalesce(business_age, 'NULO') business_age,
-  coalesce(processing_method, 'NULO') processing_method, coalesce(rate_type, 'NULO') rate_type from tp)
-  on business_age, processing_method, rate_type into name feature value category) group by 1, 2),
- bins as (select * from nb union all select * from cb), {_WOE_TAIL}"""
+ nl as (select feature, v, y from (unpivot (select is_chargeoff y, {_CASTS} from tp) on {', '.join(NUM)} into name feature value v)),
+ ne as (select feature, list_sort(list_distinct(quantile_cont(v, [{_PROBS}]))) edges from nl where v > -9e9 group by 1),
+ nb as (select feature, place, case when place > 0 then any_value(edges)[place + 1] end lo, cast(null as varchar) category, count(*) n, cast(sum(y) as bigint) events
+  from (select feature, edges, y, case when v = -9e9 then -1 else len(list_filter(edges[2:len(edges) - 1], lambda x: x <= v)) end place from nl join ne using (feature)) group by 1, 2),
+ c1 as (select feature, category, count(*) n, sum(y) e from (unpivot (select is_chargeoff y, {_TEXTS} from tp) on {', '.join(CAT)} into name feature value category) group by 1, 2),
+ c2 as (select feature, case when category <> 'NULO' and n * 200 < sum(case when category <> 'NULO' then n end) over (partition by feature) then 'RARE' else category end category, n, e from c1),
+ c3 as (select feature, category, cast(sum(n) as bigint) n, cast(sum(e) as bigint) events from c2 group by 1, 2),
+ c4 as (select *, case when category = 'NULO' then -1 else cast(floor(coalesce(sum(n) over (partition by feature, category = 'NULO' order by events * 1e0 / n, category
+  rows between unbounded preceding and 1 preceding), 0) * {CFG.n_bins}e0 / sum(n) over (partition by feature, category = 'NULO')) as bigint) end place from c3),
+ ob as (select feature, place, min(lo) lo, cast(null as varchar[]) cats, sum(n) n, sum(events) events from nb group by 1, 2
+  union all select feature, place, null, list(category), sum(n), sum(events) from c4 group by 1, 2),
+ pre as (select *, sum(n) over w cn, sum(events) over w ce from ob where place >= 0 window w as (partition by feature order by place)),
+ seg as (select x.feature, x.place a, y.place b, (y.ce - x.ce + x.events) * 1e0 / (y.cn - x.cn + x.n) m from pre x join pre y on x.feature = y.feature and x.place <= y.place),
+ cut as (select p.feature, p.place, s.a, min(m) lowest, max(m) highest from pre p join seg s on s.feature = p.feature and s.a <= p.place and s.b >= p.place group by all),
+ iso as (select feature, place, max(lowest) up, min(highest) down from cut group by 1, 2),
+ us as (select feature, sum(e * e / k) t from (select feature, sum(events) * 1e0 e, sum(n) * 1e0 k from iso join pre using (feature, place) group by feature, up) group by 1),
+ ds as (select feature, sum(e * e / k) t from (select feature, sum(events) * 1e0 e, sum(n) * 1e0 k from iso join pre using (feature, place) group by feature, down) group by 1),
+ fitted as (select iso.feature, iso.place, case when us.t >= ds.t then up else down end v from iso join us using (feature) join ds using (feature)),
+ numbered as (select feature, place, dense_rank() over (partition by feature order by first) - 1 bin from (select *, min(place) over (partition by feature, v) as first from fitted)),
+ bins as (select feature, cast(coalesce(bin, -1) as integer) bin, case when min(ob.place) > 0 then min_by(lo, ob.place) end lo, array_to_string(list_sort(flatten(list(cats))), ' | ') label, cast(sum(n) as bigint) n, cast(sum(events) as bigint) events
+  from ob left join numbered using (feature, place) group by 1, 2), {_WOE_TAIL}"""
 
 
 def woe_table(spark, d):
-    train = part(split_panel(spark, d), "train")
-    numeric = SC.numeric_bins(train, Y, WOE_NUM, 5).select("feature", F.col("bin").cast("string").alias("bin"), "n", "events")
-    cats = SC.categorical_bins(train, Y, WOE_CAT).withColumnRenamed("category", "bin")
-    return SC.with_woe(numeric.unionByName(cats))
+    table, _ = SC.fitted_bins(part(split_panel(spark, d), "train"), Y, NUM, CAT, CFG.n_bins)
+    return SC.with_woe(table)
 
 
-@query("woe_binning", f"""with {WOE_SQL} select feature, bin, n, events, round(event_rate, 6) event_rate, round(woe, 6) woe, round(iv, 6) iv, round(js, 6) js from woe""")
+@query("woe_binning", f"""with {WOE_SQL} select feature, bin, round(lo, 6) lo, nullif(label, '') label, n, events, round(event_rate, 6) event_rate, round(woe, 6) woe, round(iv, 6) iv, round(js, 6) js from woe""")
 def woe_binning(spark, d):
     return rounded(woe_table(spark, d))
 
 
-@query("iv_selection", f"""with {WOE_SQL} select feature, round(sum(iv), 6) iv, round(sum(js), 6) js from woe group by 1 having sum(iv) between 0.001 and 0.75""")
+@query("iv_selection", f"""with {WOE_SQL} select feature, round(sum(iv), 6) iv, round(sum(js), 6) js from woe group by 1 having sum(iv) between 0.02 and 0.75""")
 def iv_selection(spark, d):
-    return rounded(SC.select_by_iv(SC.information_value(woe_table(spark, d)), 0.001, 0.75, 25))
+    return rounded(SC.select_by_iv(SC.information_value(woe_table(spark, d)), 0.02, 0.75, 25))
 
 
 @query("iv_ceiling", f"""with {WOE_SQL} select feature, round(sum(iv), 6) iv, round(sum(js), 6) js from woe group by 1 having sum(iv) > 0.1""")
@@ -81,17 +94,13 @@ def iv_ceiling(spark, d):
     return rounded(SC.leak_suspects(SC.information_value(woe_table(spark, d)), 0.1))
 
 
-@query("bin_labels", f"""with {WOE_SQL}, cr as (select feature, bin category, n, events, case when events * 1e0 / n >= 0.13 then 1 else 0 end bin from bins
-  where feature in ('business_age', 'processing_method', 'rate_type'))
- select feature, bin, string_agg(category, ' | ' order by category) label, cast(sum(n) as bigint) n, cast(sum(events) as bigint) events from cr group by 1, 2""")
+@query("bin_labels", f"""with {WOE_SQL} select feature, bin, label, n, events from bins where label <> ''""")
 def bin_labels(spark, d):
-    cats = SC.categorical_bins(part(split_panel(spark, d), "train"), Y, WOE_CAT)
-    high = F.when(F.col("events") / F.col("n") >= 0.13, 1).otherwise(0)
-    return SC.bin_labels(cats.withColumn("bin", high))
+    return woe_table(spark, d).where("label IS NOT NULL").select("feature", "bin", "label", "n", "events")
 
 
 def fit_card(df):
-    return SC.fit_scorecard(part(df, "train"), Y, NUM, CAT, n_bins=CFG.n_bins, low_iv=0.001)
+    return SC.fit_scorecard(part(df, "train"), Y, NUM, CAT, n_bins=CFG.n_bins)
 
 
 @query("scorecard_fit_score")
@@ -103,15 +112,14 @@ def scorecard_fit_score(spark, d):
     return rounded(test_metrics(out, "p")).join(means, "split")
 
 
-def fit_gbm(df, trees=20, depth=4, num=NUM, cat=CAT, y=Y):
-    return M.fit_gbm(part(df, "train"), part(df, "valid"), y, num, cat, trees=trees, depth=depth, seed=CFG.seed)
+def fit_gbm(df, num=NUM, cat=CAT, y=Y):
+    return B.fit(part(df, "train"), part(df, "valid"), y, num, cat, B.Params(seed=CFG.seed))
 
 
 @query("gbm_challenger")
 def gbm_challenger(spark, d):
     df = split_panel(spark, d)
-    out = M.score(fit_gbm(df), df, Y, NUM, CAT, "p")
-    return rounded(test_metrics(out, "p"))
+    return rounded(test_metrics(B.score(fit_gbm(df), df, "p"), "p"))
 
 
 @query("mlp_challenger")
@@ -124,7 +132,7 @@ def mlp_challenger(spark, d):
 @query("feature_importance")
 def feature_importance(spark, d):
     df = split_panel(spark, d)
-    return rounded(M.importances(fit_gbm(df, trees=10), [*NUM, *CAT], df))
+    return rounded(M.importances(fit_gbm(df).importances(), df))
 
 
 CAL_SQL = f"{SCORED_SQL}, va as (select * from scored where split = 'valid')"
@@ -183,7 +191,7 @@ def model_comparison(spark, d):
     df = split_panel(spark, d)
     card = fit_card(df)
     df = df.withColumn("scorecard_woe", card.probability())
-    df = M.score(fit_gbm(df), df, Y, NUM, CAT, "gbm")
+    df = B.score(fit_gbm(df), df, "gbm")
     df = M.score(M.fit_mlp(part(df, "train"), Y, NUM, CAT, seed=CFG.seed), df, Y, NUM, CAT, "mlp", fill=False)
     long = Q.to_long(df, ["scorecard_woe", "gbm", "mlp"], ["split", Y]).cache()
     m = settle(Q.summary(long, Y, "p", ["model", "split"], CFG.n_bins))
@@ -203,7 +211,7 @@ def model_comparison(spark, d):
 def signal_gate(spark, d):
     df = split_panel(spark, d)
     project_guarded(df, [*NUM, *CAT], forbidden=CFG.forbidden)
-    out = part(M.score(fit_gbm(df, trees=10, depth=3), df, Y, NUM, CAT, "p"), "test")
+    out = part(B.score(fit_gbm(df), df, "p"), "test")
     auc = Q.discrimination(out.select(Y, "p"), Y, "p")
     return auc.select(r("auc").alias("auc_test"), F.lit(CFG.min_signal_auc).alias("threshold"),
                       (F.col("auc") >= CFG.min_signal_auc).alias("passes"))
@@ -234,7 +242,7 @@ def harmonize_cost(spark, d):
     out = None
     for label, table in (
         ("raw", df), ("harmonised", df.withColumn("business_age", harmonise("business_age", PARTIAL_MAP)))):
-        test = part(M.score(fit_gbm(table, trees=10, depth=3), table, Y, NUM, CAT, "p"), "test")
+        test = part(B.score(fit_gbm(table), table, "p"), "test")
         row = Q.discrimination(test.select(Y, "p"), Y, "p").select(F.lit(label).alias("vocabulary"), r("auc").alias("auc_test"))
         cats = part(table, "train").agg(F.count_distinct("business_age").alias("categories"))
         row = row.withColumn("categories", cats.scalar())
@@ -251,8 +259,7 @@ def train_access_model(spark, d):
         F.col("activity_year").between(*CFG.application_test), "test")
     df = stage(df.withColumn("split", split).where(F.col("split").isNotNull()), "applications")
     project_guarded(df, [*num, *cat], forbidden=("is_denied",), protected=("race", "ethnicity", "sex"))
-    model = fit_gbm(df, trees=10, depth=3, num=num, cat=cat, y="is_denied")
-    out = M.score(model, df, "is_denied", num, cat, "p0").select("split", "is_denied", "race", "ethnicity", "sex", "p0").cache()
+    out = B.score(fit_gbm(df, num=num, cat=cat, y="is_denied"), df, "p0").select("split", "is_denied", "race", "ethnicity", "sex", "p0").cache()
     test = C.calibrate("intercept", part(out, "valid"), part(out, "test"), "is_denied", "p0", "p")
     threshold = settle(FA.approval_threshold(test, "p", CFG.approval_rate)).scalar()
     groups = FA.group_outcomes(test, y="is_denied", score="p", threshold=threshold, dimensions=("race", "ethnicity", "sex"))

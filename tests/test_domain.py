@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from loanlens.config import TESTBED, Settings
 from loanlens.functions import text as T
 from loanlens.functions.scalar import calendar_months
 from loanlens.operators import audits, cohorts, drift, eventstudy, fairness, features, gates, notices, vocabulary
-from loanlens.operators.scorecard import merge_monotone
+from loanlens.operators.scorecard import category_places, monotone_bins
 from loanlens.session import settle
 from loanlens.sources import files
 from loanlens.sources.loans import PANEL_COLUMNS
@@ -158,12 +159,40 @@ def test_kitagawa_adds_up(spark):
     assert len(out) == 2 and all(r["adds_up"] for r in out)
 
 
-def test_bins_become_monotone():
-    bins = [(100, 10), (100, 12), (100, 8), (100, 20), (100, 30)]
-    group = merge_monotone(bins)
-    rates = [sum(e for (n, e), g in zip(bins, group) if g == k) / sum(n for (n, e), g in zip(bins, group) if g == k)
-             for k in range(max(group) + 1)]
-    assert rates == sorted(rates) and len(rates) == 3
+def pooled(bins, sign):
+    """Blocks of equal fitted rate by the max-min formula, in exact fractions."""
+    def mean(a, b):
+        return Fraction(sum(e for _, e in bins[a:b + 1]), sum(n for n, _ in bins[a:b + 1]))
+
+    k = range(len(bins))
+    pick, turn = (max, min) if sign > 0 else (min, max)
+    fit = [pick(turn(mean(a, b) for b in k if b >= i) for a in k if a <= i) for i in k]
+    groups = [sorted(set(fit), reverse=sign < 0).index(v) for v in fit]
+    spread = sum(Fraction(sum(e for (_, e), g in zip(bins, groups) if g == j) ** 2, sum(n for (n, _), g in zip(bins, groups) if g == j))
+                 for j in set(groups))
+    return spread, groups
+
+
+def test_bins_become_monotone(spark):
+    """Rising, falling, tied, single and random bins of many features in one fold."""
+    draw = np.random.default_rng(3)
+    tables = {"a": [(100, 10), (100, 12), (100, 8), (100, 20), (100, 30)], "b": [(100, 30), (50, 10), (100, 19), (10, 0)],
+              "c": [(7, 3)], "d": [(10, 2), (20, 4), (30, 6)], "e": [(10, 0), (10, 10)]}
+    for i in range(40):
+        tables[f"r{i}"] = [(int(n), int(draw.integers(0, n + 1))) for n in draw.integers(1, 40, draw.integers(1, 12))]
+    rows = [(f, i, n, e) for f, bins in tables.items() for i, (n, e) in enumerate(bins)]
+    out = monotone_bins(spark.createDataFrame(rows, "feature string, place int, n bigint, events bigint")).collect()
+    for f, bins in tables.items():
+        up, down = pooled(bins, 1), pooled(bins, -1)
+        got = [r.bin for r in sorted((r for r in out if r.feature == f), key=lambda r: r.place)]
+        assert got in ([up[1]] if up[0] > down[0] else [down[1]] if down[0] > up[0] else [up[1], down[1]]), (f, bins)
+
+
+def test_rare_categories_count_together(spark):
+    rows = [("f", f"k{i}", 1, i % 2) for i in range(30)] + [("f", "big", 3000, 300), ("f", "other", 4000, 100), ("f", "NULO", 50, 9)]
+    out = {r.category: r for r in category_places(spark.createDataFrame(rows, "feature string, category string, n bigint, events bigint"), 10).collect()}
+    assert set(out) == {"RARE", "big", "other", "NULO"} and (out["RARE"].n, out["RARE"].events) == (30, 15)
+    assert out["NULO"].place == -1 and out["other"].place == 0 < out["big"].place < out["RARE"].place
 
 
 def test_business_age_is_not_applicant_age(spark):
