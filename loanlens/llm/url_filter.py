@@ -44,13 +44,13 @@ LABELLED = tuple((url, 1) for url in (
     "http://cracked-software.example.net/keygen", "http://torrent-warez.example.com/dl/8", "http://seo-backlinks.example.com/en/6",
     "http://viagra-online.example.net/buy", "https://poker-bets.example.com/en/99", "http://phish-login.example.net/verify/account",
 )) + tuple((url, 0) for url in (
-    "http://ththre.example.com/fr/825?page=2", "https://m.ththth.example.net/en/25#top", "https://thther.example.org/en/685",
+    "http://theatre.example.com/fr/825?page=2", "https://m.bookshop.example.net/en/26#top", "https://weather.example.org/en/36",
     "http://www.library.example.org/catalogue/12", "https://news.example.com/en/2021/07/story.html", "http://blog.garden.example.net/en/853/",
     "https://www.university.example.org/courses/math", "http://docs.example.net/manual/install.html", "https://recipes.example.com/en/soup",
     "http://m.weather.example.net/de/berlin", "https://history.example.org/es/771", "http://museum.example.com/fr/expo/5",
     "https://science.example.net/en/papers/314", "http://blog.travel.example.com/es/978?page=2&ref=x", "https://www.city.example.org/services",
-    "http://music.example.net/en/albums/40", "https://therin.example.net/en/770#top", "http://therha.example.com/en/676",
-    "https://blog.tiontion.example.com/en/853/", "http://thering.example.com/en/328/", "https://tionsh.example.net/de/533.html",
+    "http://music.example.net/en/albums/40", "https://northern.example.net/en/731#top", "http://together.example.com/en/861",
+    "https://blog.translation.example.com/en/519/", "http://gathering.example.com/en/248/", "https://station.example.net/de/277.html",
     "http://health.example.org/en/nutrition", "https://forum.example.com/en/thread/1201", "http://www.sports.example.net/es/liga",
 ))
 
