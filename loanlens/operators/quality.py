@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.scalar import (
@@ -135,43 +137,91 @@ def summary(df: DataFrame, y: str, p: str, groups: Sequence[str], n_bins: int =
     return d.join(calibration(df, y, p, groups, n_bins), list(groups))
 
 
-def bootstrap_auc_diff(
-    df: DataFrame, *, y: str, a: str, b: str, key: Sequence[str], replicas: int, seed: int, chunk: int = 100
-) -> DataFrame:
-    """Paired bootstrap of AUC(a) - AUC(b): mean, 95% interval and two-sided p.
+def score_cells(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
+    """a, b, y, n: rows with the same two scores and class, which no ranking can part. Rows with a null count nowhere."""
+    cells = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(y).cast("int").alias("y"))
+    return cells.dropna().groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n"))
 
-    Each row gets a Poisson(1) weight per replica from a hash of (row, replica), so a replica needs no
-    resampling shuffle and a retried task draws the same weights. Weights are summed per
-    (score pair, class) before anything is ordered.
+
+def replica_weights(n: int, draw: int, replicas: int) -> np.ndarray:
+    """How often each replica takes the `n` rows of a cell: sums of n Poisson(1) draws, the same at every retry."""
+    return np.random.Generator(np.random.Philox(key=draw % 2**64)).poisson(n, replicas)
+
+
+def _replica_pieces(dealt: DataFrame, replicas: int) -> DataFrame:
+    """lo, tied, pos, neg, pairs: sums by replica of a sorted task's first value, of its last, and of all between them.
+
+    Equal values may lie in two tasks, so only values between the first and the last are compared here; `tied` pieces
+    hold one value.
+    """
+    zero = np.zeros(replicas)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, inner, middle = [], None, [zero, zero, zero]
+        value, pos, neg = None, zero, zero
+
+        def close(last: bool) -> None:
+            nonlocal inner, middle
+            if last or not out:
+                out.append((value, True, pos, neg, zero))
+            else:
+                inner = value if inner is None else inner
+                middle = [middle[0] + pos, middle[1] + neg, middle[2] + pos * (middle[1] + neg / 2)]
+
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for v, y, n, draw in rows:
+                if v != value:
+                    if value is not None:
+                        close(False)
+                    value, pos, neg = v, zero, zero
+                w = replica_weights(n, draw, replicas)
+                pos, neg = (pos + w, neg) if y else (pos, neg + w)
+        if value is not None:
+            close(True)
+        if inner is not None:
+            out.append((inner, False, *middle))
+        if out:
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.float64()), pa.array(columns[1]),
+                 *(pa.array([x.tolist() for x in c], pa.list_(pa.float64())) for c in columns[2:])],
+                ["lo", "tied", "pos", "neg", "pairs"])
+
+    return dealt.mapInArrow(run, "lo double, tied boolean, pos array<double>, neg array<double>, pairs array<double>")
+
+
+def replica_aucs(cells: DataFrame, score: str, replicas: int) -> DataFrame:
+    """replica, auc: of `score` in every replica of the cells (a, b, y, n, draw); null where a class is absent.
+
+    Cells are sorted in ranges; a task gives out at most three pieces, however many rows a value has.
+    """
+    dealt = cells.repartitionByRange(F.col(score), F.col("draw")).sortWithinPartitions(score)
+    pieces = _replica_pieces(dealt.select(score, "y", "n", "draw"), replicas)
+    each = pieces.select("lo", "tied", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("replica", "_s"))
+    flat = each.groupBy("replica", "lo").agg(
+        F.max("tied").alias("tied"), *[F.sum(f"_s.{c}").alias(c) for c in ("pos", "neg", "pairs")])
+    before = Window.partitionBy("replica").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # three rows per task
+    own = F.when(F.col("tied"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("pairs"))
+    pairs = flat.withColumn("pairs", own + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    return pairs.groupBy("replica").agg(
+        (F.sum("pairs") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+
+
+def bootstrap_auc_diff(df: DataFrame, *, y: str, a: str, b: str, replicas: int = 2000, seed: int = 0) -> DataFrame:
+    """Paired Poisson bootstrap of AUC(a) - AUC(b): replicas used, mean, 95% interval, two-sided p.
+
+    Rows are combined to cells of equal scores and class before anything is drawn. A cell of n rows draws Poisson(n), the
+    law of the sum of its rows' draws, from a generator seeded by the cell itself, so both scores see the same weights
+    and a retried task draws them again. Replicas without one of the classes are left out; without any, the row is null.
     """
-    import math
-
-    cdf, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1.0) / math.factorial(k)
-        cdf.append(total)
-    parts: DataFrame | None = None
-    for first in range(0, replicas, chunk):
-        last = min(replicas, first + chunk)
-        u = F.pmod(F.xxhash64(*key, F.col("replica"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        weight = sum((flag(u >= c) for c in cdf), F.lit(0))
-        drawn = (
-            df.select(*key, y, F.col(a).alias("_a"), F.col(b).alias("_b"),
-                      F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replica"))
-            .withColumn("_w", weight).where(F.col("_w") > 0)
-            .groupBy("replica", "_a", "_b", y).agg(F.sum("_w").alias("_w"))
-        )
-        long = to_long(drawn, ["_a", "_b"], ["replica", y, "_w"])
-        aucs = discrimination(long, y, "p", ["replica", "model"], weight=F.col("_w"))
-        diff = aucs.groupBy("replica").agg(
-            (F.max(F.when(F.col("model") == "_a", F.col("auc")))
-             - F.max(F.when(F.col("model") == "_b", F.col("auc")))).alias("diff"))
-        diff = settle(diff.where(F.col("diff").isNotNull()))  # at most `chunk` rows
-        parts = diff if parts is None else parts.unionByName(diff)
+    cells = settle(score_cells(df, y, a, b).withColumn("draw", F.xxhash64("a", "b", "y", F.lit(seed))))
+    left, right = (replica_aucs(cells, s, replicas).withColumnRenamed("auc", f"auc_{s}") for s in ("a", "b"))
+    diff = left.join(right, "replica").select((F.col("auc_a") - F.col("auc_b")).alias("diff")).dropna()
     ci = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
     low = F.avg(flag(F.col("diff") <= 0).cast("double"))
     high = F.avg(flag(F.col("diff") >= 0).cast("double"))
-    return parts.agg(
+    return diff.agg(
         F.count(F.lit(1)).alias("replicas"), F.avg("diff").alias("diff"), ci.alias("_ci"),
         F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p_value"),
     ).select(
@@ -181,5 +231,5 @@ def bootstrap_auc_diff(
 
 __all__ = [
     "bootstrap_auc_diff", "calibration", "discrimination", "exact_quantiles", "psi", "reading",
-    "reliability_table", "stability", "summary", "to_long",
+    "reliability_table", "replica_aucs", "replica_weights", "score_cells", "stability", "summary", "to_long",
 ]

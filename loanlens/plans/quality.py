@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanlens.config import TESTBED as CFG
 from loanlens.operators import quality as Q
 from loanlens.plans.registry import n, query, r, rounded
+from loanlens.session import settle
 from loanlens.sources.files import stage
 from loanlens.sources.testbed import LOANS_SQL, loans
 
@@ -119,11 +120,36 @@ def oot_drop(spark, d):
     return t.groupBy("model").agg(r(at("train") - at("test")).alias("auc_drop"))
 
 
+def tested(spark, d):
+    return loans(spark, d, "status", "split", "is_bad", *MODELS).where(
+        F.col("status").isin(list(CFG.resolved_statuses)) & (F.col("split") == "test"))
+
+
 @query("bootstrap_auc_diff")
 def bootstrap_auc_diff(spark, d):
-    df = loans(spark, d, "loan_id", "status", "split", "is_bad", *MODELS).where(
-        F.col("status").isin(list(CFG.resolved_statuses)) & (F.col("split") == "test"))
-    return Q.bootstrap_auc_diff(df, y="is_bad", a="score_a", b="score_b", key=["loan_id"], replicas=200, seed=CFG.seed)
+    return Q.bootstrap_auc_diff(tested(spark, d), y="is_bad", a="score_a", b="score_b", replicas=2000, seed=CFG.seed)
+
+
+# The check has no draws: it takes the standard error of the difference from placement values of each class.
+@query("bootstrap_auc_verdict", f"""with {LOANS_SQL}, k as (select score_a a, score_b b, is_bad y, count(*) n from loans
+  where status in ('P I F', 'CHGOFF') and split = 'test' group by all),
+ ra as (select a, sum(n * y) p, sum(n * (1 - y)) q from k group by a),
+ rb as (select b, sum(n * y) p, sum(n * (1 - y)) q from k group by b),
+ pa as (select a, sum(q) over (order by a) - q / 2e0 below, sum(p) over () - sum(p) over (order by a) + p / 2e0 above, sum(p) over () np, sum(q) over () nq from ra),
+ pb as (select b, sum(q) over (order by b) - q / 2e0 below, sum(p) over () - sum(p) over (order by b) + p / 2e0 above from rb),
+ v as (select y, n, np, nq, case when y = 1 then (pa.below - pb.below) / nq else (pa.above - pb.above) / np end x from k join pa using (a) join pb using (b)),
+ m as (select y, any_value(np) np, any_value(nq) nq, sum(n) m, sum(n * x) / sum(n) mean, (sum(n * x * x) - sum(n * x) * sum(n * x) / sum(n)) / (sum(n) - 1) var from v group by y),
+ t as (select cast(any_value(np) as bigint) n_pos, cast(any_value(nq) as bigint) n_neg, max(mean) filter (y = 1) diff, sqrt(sum(var / m)) se from m)
+ select n_pos, n_neg, round(diff, 6) diff, abs(diff) > 1.96 * se significant from t""")
+def bootstrap_auc_verdict(spark, d):
+    """The difference over all rows, and whether the replicas call it significant."""
+    cells = settle(Q.score_cells(tested(spark, d), "is_bad", "score_a", "score_b"))
+    long = Q.to_long(cells, ("a", "b"), ["y", "n"])
+    auc = settle(Q.discrimination(long, "y", "p", ["model"], weight=F.col("n")))
+    at = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
+    point = auc.agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), (at("a") - at("b")).alias("diff"))
+    drawn = bootstrap_auc_diff(spark, d).select("significant").scalar()
+    return point.select("n_pos", "n_neg", r("diff").alias("diff"), drawn.alias("significant"))
 
 
 __all__ = ["n"]

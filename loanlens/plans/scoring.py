@@ -272,21 +272,21 @@ def train_access_model(spark, d):
         found.select(c).scalar().alias(c) for c in ("impact_ratio", "worst_group", "promoted", "blocked_by")]))
 
 
-ENC_CAT = ("business_age", "processing_method", "rate_type")
+_CODES = ",\n ".join(f"""v_{c} as (select cast({c} as varchar) c, row_number() over (order by cast({c} as varchar)) - 1 k
+  from tp where {c} is not null group by 1)""" for c in CAT)
+_CODED = ", ".join(f"cast(coalesce(v_{c}.k, -1) as integer) {c}" for c in CAT)
+_CODE_JOINS = " ".join(f"left join v_{c} on cast(p.{c} as varchar) = v_{c}.c" for c in CAT)
 
 
 @query("encode_contract", f"""with {PANEL_SQL}, tp as (select * from panel where approval_fy between 1995 and 1997),
- va as (select business_age c, row_number() over (order by business_age) - 1 k from tp where business_age is not null group by 1),
- vp as (select processing_method c, row_number() over (order by processing_method) - 1 k from tp where processing_method is not null group by 1),
- vr as (select rate_type c, row_number() over (order by rate_type) - 1 k from tp where rate_type is not null group by 1)
- select p.approval_fy, cast(coalesce(va.k, -1) as integer) business_age, cast(coalesce(vp.k, -1) as integer) processing_method,
- cast(coalesce(vr.k, -1) as integer) rate_type, count(*) n from panel p left join va on p.business_age = va.c
- left join vp on p.processing_method = vp.c left join vr on p.rate_type = vr.c group by all""")
+ {_CODES}
+ select p.approval_fy, {_CODED}, count(*) n, round(sum(try_cast(p.gross_approval as double)), 2) amount
+ from panel p {_CODE_JOINS} group by all""")
 def encode_contract(spark, d):
-    df = panel(spark, d)
-    vocab = settle(M.vocabulary(df.where(F.col("approval_fy").between(*CFG.train)), ENC_CAT))
-    coded = M.encode(df.select("approval_fy", "gross_approval", *ENC_CAT), vocab, ["gross_approval"], ENC_CAT)
-    return coded.groupBy("approval_fy", *ENC_CAT).agg(n().alias("n"))
+    df = stage(panel(spark, d).select("approval_fy", "gross_approval", *CAT), "encoded")
+    vocab = settle(M.vocabulary(df.where(F.col("approval_fy").between(*CFG.train)), CAT))
+    coded = M.encode(df, vocab, ["gross_approval"], CAT)
+    return coded.groupBy("approval_fy", *CAT).agg(n().alias("n"), r(F.sum("gross_approval"), 2).alias("amount"))
 
 
 @query("score_parity", f"""with {LOANS_SQL} select count(*) n, round(max(abs(score_a - cast(cast(score_a as real) as double))), 12) max_diff,

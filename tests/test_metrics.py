@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loanlens.operators import calibrate as C
 from loanlens.operators import economics as EC
+from loanlens.operators import models as M
 from loanlens.operators import quality as Q
 from loanlens.operators.ranking import exact_quantiles, order_bucket, running_totals
 
@@ -133,13 +134,64 @@ def test_calibrators_keep_order_and_range(rows):
 
 def test_bootstrap_sees_no_difference_between_equal_scores(rows):
     df, _ = rows
-    r = Q.bootstrap_auc_diff(df.withColumn("q", F.col("p")), y="y", a="p", b="q", key=["id"], replicas=20, seed=1).first()
-    assert r["diff"] == 0 and not r["significant"]
+    r = Q.bootstrap_auc_diff(df.withColumn("q", F.col("p")), y="y", a="p", b="q", replicas=20, seed=1).first()
+    assert r["replicas"] == 20 and r["diff"] == 0 and not r["significant"]
 
 
 def test_bootstrap_finds_a_better_score(rows):
     df, data = rows
     y, p = np.array([d[3] for d in data]), np.array([d[2] for d in data])
     worse = df.withColumn("q", F.lit(1.0) - F.col("p"))
-    r = Q.bootstrap_auc_diff(worse, y="y", a="p", b="q", key=["id"], replicas=40, seed=1).first()
+    r = Q.bootstrap_auc_diff(worse, y="y", a="p", b="q", replicas=40, seed=1).first()
     assert r["significant"] and r["diff"] == pytest.approx(2 * brute_auc(y, p) - 1, abs=0.05)
+
+
+def test_replica_aucs_are_those_of_repeated_rows(rows):
+    df, _ = rows
+    scores = df.withColumn("q", F.round(1 - F.col("p") * F.col("p"), 1))
+    cells = Q.score_cells(scores, "y", "p", "q").withColumn("draw", F.xxhash64("a", "b", "y")).cache()
+    kept = cells.collect()
+    weights = [Q.replica_weights(c.n, c.draw, 30) for c in kept]
+    for score in ("a", "b"):
+        got = {r.replica: r.auc for r in Q.replica_aucs(cells, score, 30).collect()}
+        assert len(got) == 30
+        for k, auc in got.items():
+            many = [w[k] for w in weights]
+            y, p = np.repeat([c.y for c in kept], many), np.repeat([c[score] for c in kept], many)
+            assert auc == pytest.approx(brute_auc(y, p), abs=1e-12)
+
+
+def test_bootstrap_width_is_that_of_placement_values(rows):
+    df, data = rows
+    y, p = np.array([d[3] for d in data]), np.array([d[2] for d in data])
+    q = np.round(1 - p * p, 1)
+    pos, neg = y == 1, y == 0
+
+    def placed(s):
+        wins = (s[pos][:, None] > s[neg][None, :]) + 0.5 * (s[pos][:, None] == s[neg][None, :])
+        return wins.mean(1), wins.mean(0)
+
+    (up, uq), (vp, vq) = placed(p), placed(q)
+    error = np.sqrt(np.var(up - vp, ddof=1) / pos.sum() + np.var(uq - vq, ddof=1) / neg.sum())
+    scores = df.withColumn("q", F.round(1 - F.col("p") * F.col("p"), 1))
+    r = Q.bootstrap_auc_diff(scores, y="y", a="p", b="q", replicas=2000, seed=3).first()
+    assert r["diff"] == pytest.approx(up.mean() - vp.mean(), abs=0.2 * error)
+    assert r["ci_high"] - r["ci_low"] == pytest.approx(3.92 * error, rel=0.15)
+
+
+def test_bootstrap_without_a_class_or_rows(rows):
+    df, _ = rows
+    for few in (df.where("y = 1"), df.limit(0), df.withColumn("p", F.lit(None).cast("double"))):
+        r = Q.bootstrap_auc_diff(few.withColumn("q", F.col("p")), y="y", a="p", b="q", replicas=5, seed=1).first()
+        assert r["replicas"] == 0 and r["diff"] is None
+
+
+def test_codes_are_dense_and_sorted_over_many_ranges(spark):
+    names = [f"k{i:03d}" for i in range(500)] + ["Z", "é", ""]
+    train = spark.createDataFrame([(v, "x" if i % 3 else None) for i, v in enumerate(names)], "a string, b string")
+    vocab = M.vocabulary(train, ["a", "b"]).cache()
+    got = {(r.feature, r.category): r.code for r in vocab.collect()}
+    assert got == {**{("a", v): i for i, v in enumerate(sorted(names))}, ("b", "x"): 0}
+    coded = M.encode(spark.createDataFrame([("k001", None, "7"), ("new", "x", "n/a")], "a string, b string, v string"), vocab, ["v"], ["a", "b"])
+    assert sorted(tuple(r) for r in coded.collect()) == sorted([(got["a", "k001"], -1, 7.0), (-1, 0, None)], key=str)
+    assert M.vocabulary(train.limit(0), ["a", "b"]).count() == 0
