@@ -242,3 +242,12 @@ def test_digests_have_no_size_limit(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(files, attribute, 3, raising=False)
     found = {r["name"]: (r["bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path / "*.bin")).collect()}
     assert found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in texts.items()}
+
+
+def test_denial_rates_rank_only_groups_that_are_large_enough(spark):
+    rows = [("a", "3", "10", "1"), ("a", "1", "30", None), ("a", "1", "NA", "5"), ("b", "3", "7", "7"), (None, "3", "1", "1"),
+            ("skip", "1", "1", "1"), ("skip", "1", "1", "1"), ("c", "1", None, "2"), ("c", "3", None, "4")]
+    raw = spark.createDataFrame(rows, "g string, action_taken string, income string, loan_amount string")
+    got = {r.group: tuple(r)[1:] for r in fairness.denial_rates_by(raw, "g", ["skip"], 2).collect()}
+    assert got == {"a": (3, 1 / 3, 20000.0, 3.0), "c": (2, 0.5, None, 3.0)}
+    assert fairness.denial_rates_by(raw.limit(0), "g", ["skip"], 2).count() == 0
