@@ -75,3 +75,14 @@ def test_close_means_keep_their_digits(spark):
     within = sum(((share[cell == c] - share[cell == c].mean()) ** 2).sum() for c in (0.0, 1e3))
     want = 1 - within / ((share - share.mean()) ** 2).sum()
     assert identification.treatment_r2(df, 500.0, 1e9).first().r2 == pytest.approx(want, abs=1e-3)
+
+
+def test_quantiles_read_slices_of_wanted_buckets_only(spark):
+    """Two buckets hold the ranks of two probs: the slices of all others are left out before they are searched."""
+    rows = [(g, float(v) * 1.37) for g in "ab" for v in range(1, 4000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = ranking.exact_quantiles(df, "v", [0.25, 0.9], ["g"])
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {p: float(np.quantile([v for g, v in rows if g == "a"], p)) for p in (0.25, 0.9)}
+    got = out.collect()
+    assert len(got) == 4 and all(abs(r.value - want[r.prob]) < 1e-9 for r in got)
