@@ -251,3 +251,28 @@ def test_denial_rates_rank_only_groups_that_are_large_enough(spark):
     got = {r.group: tuple(r)[1:] for r in fairness.denial_rates_by(raw, "g", ["skip"], 2).collect()}
     assert got == {"a": (3, 1 / 3, 20000.0, 3.0), "c": (2, 0.5, None, 3.0)}
     assert fairness.denial_rates_by(raw.limit(0), "g", ["skip"], 2).count() == 0
+
+
+def test_folding_counting_and_terms_agree_with_plain_rules(spark):
+    texts = ["", None, "plain ASCII, two words", "Résumé É", "éa b", "İstanbul ͅx", "ΆΛΦΑ й", "naïve gender; su edad!", "x́ race"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    folded = notices.with_folded(df, "t").select(
+        "i", "_fold", T.word_count(F.col("t")).alias("n"), T.word_count_folded(F.col("t"), F.col("_fold"), F.col("_tok")).alias("m"))
+    for r in folded.collect():
+        assert r.n == r.m and r["_fold"] == (None if texts[r.i] is None else T.fold_text(texts[r.i]))
+    found = {r.i: r[1] for r in notices.with_prohibited(notices.with_folded(df, "t")).select("i", "prohibited_found").collect()}
+    assert found[7] == ["gender", "su edad"] and found[8] == ["race"] and found[2] == [] and found[1] is None
+
+
+def test_labels_that_are_not_fixed_are_looked_for_by_their_words(spark):
+    rows = [(0, "We saw Tardy things", ["tardy payments", "the loan guarantee percentage"]), (1, "Loan", ["tardy payments", None]), (2, "", [])]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "i int, t string, c array<string>, l string")
+    out = {r.i: (r.recall, r.missing) for r in notices.with_faithfulness(df, "t", "c", "l").collect()}
+    assert out[0] == (0.5, ["the loan guarantee percentage"]) and out[1][0] == 0 and out[2] == (1.0, [])
+
+
+def test_notice_rows_are_dealt_before_their_texts_are_made(spark):
+    from loanlens.plans.notices import gated
+
+    plan = gated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(loan_id" in plan  # lineitem is one file of one row group
