@@ -179,7 +179,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
                                    one.alias("one"), two.alias("two")))
     sent = hashed.withColumn("total", total).select("word", "n", "sketch", F.explode(F.array(*signatures)).alias("s")).select(
         "word", "n", "sketch", "s.*")
-    a, b = sent.alias("a"), sent.alias("b")
+    # The written words are small, what they are spread to is not; by the files' size Spark would send it through the driver.
+    a, b = sent.alias("a"), sent.hint("merge").alias("b")
     one, two = F.expr("a.one <> b.one"), F.expr("a.two <> b.two")
     first = F.expr(f"a.pair < {PARTS}")  # the pairs of part 0
     here = (one & two) | (two & ~one & first) | (one & ~two & (F.expr("a.pair") == 1))
@@ -195,7 +196,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     frequent as its word, so rounds grow with the logarithm of the logarithm of the largest count."""
     ways = staged(forms.select("word", F.col("form").alias("root")), "spelling-ways")
     while True:
-        onward = ways.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        onward = ways.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge")
         if ways.join(onward, "root", "left_semi").isEmpty():
             return ways
         ways = staged(ways.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-ways")
@@ -209,12 +210,12 @@ def variants(words: DataFrame) -> DataFrame:
         F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("near_n")))).alias("p")).select("p.*").groupBy("word").agg(
             F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best")), "spelling-near")
-    chosen = words.join(each, "word", "left").withColumn("fits", F.coalesce(-F.col("best.less") >= TIMES * F.col("n"), F.lit(False)))
+    chosen = words.join(each.hint("merge"), "word", "left").withColumn("fits", F.coalesce(-F.col("best.less") >= TIMES * F.col("n"), F.lit(False)))
     chosen = staged(chosen.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
                                   F.when(F.col("fits"), F.col("best.near")).alias("form"),
                                   F.when(F.col("fits"), -F.col("best.less")).alias("form_n")), "spelling-forms")
     roots = _roots(chosen.where("form IS NOT NULL"))
-    return chosen.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return chosen.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,3 +123,12 @@ def test_odd(make, odd, none):
     assert got(spelling.spelling_groups(clash)) == brute(brute_counts(rows))
     assert spelling.spelling_groups(odd).count() == 0
     assert spelling.spelling_groups(none).count() == 0
+
+
+def test_no_join_sends_words_through_the_driver(spark, tmp_path):
+    """A table read from small files must not be broadcast once it is spread to 28 rows a word."""
+    spark.createDataFrame([(f"word{i:05d}", i + 5) for i in range(300)], "word string, n bigint").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    for made in (spelling.near_pairs(words), spelling.variants(words)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
